@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from erlink.llm import bpe, langid, mixing, secrets, simhash
-from erlink.llm.common import materialize, read
+from erlink.llm.common import materialize, read, small_batches
 from erlink.llm.queries import RANK_FILE
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -14,27 +14,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without a letter go. The predicted language replaces the given one."""
+    small_batches(spark)
     scored = langid.predict(docs.select(*COLUMNS), langid.train(docs)).where(f"lang_pred <> '{langid.UNKNOWN}'")
     return scored.select("doc_id", "text", scored.lang_pred.alias("lang"), "source", "n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    small_batches(spark)
     return simhash.deduplicate(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets in its text replaced by a mark."""
+    small_batches(spark)
     return secrets.redact(docs.select(*COLUMNS), secrets.train())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them: not at all, once, or up to three times."""
+    small_batches(spark)
     return mixing.apply_mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its text decoded from its tokens, with their number."""
+    small_batches(spark)
     return bpe.round_trip(docs.select(*COLUMNS), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
 
 

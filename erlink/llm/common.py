@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """One table of the data directory, by Spark's own reader, pruned to ``columns`` if given."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     return df.select(*columns) if columns else df
 
@@ -27,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let at most ``rows`` rows go to a Python worker at a time: texts are long, and a batch is in memory on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession

@@ -8,9 +8,9 @@ Only the first ``length`` bytes of suffixes matter here, so the difference-cover
 2. The remaining suffixes, sampled or not, that a tied sample can reach are named to full depth, sorted and merged.
 3. Neighbours in that order with equal 200-byte prefixes are the repeats; what they cover is removed.
 
-Texts travel as packs of about 2 MB. Names travel as sorted arrays, one for each pack and name range, with inner duplicates
+Texts travel as packs of about 1 MB. Names travel as sorted arrays, one for each pack and name range, with inner duplicates
 taken out first, so that a passage in a third of all documents adds one entry a pack to one range. Ranges are about as many
-as the input has blocks of 8 MB. What comes back is one bit a name.
+as the input has blocks of 6 MB. What comes back is one bit a name.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class Pack:
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         n = len(self.data)
-        self.up, self.down = _powers(max(1 << 21, 1 << int(n).bit_length()))
+        self.up, self.down = _powers(max(1 << 20, 1 << int(n).bit_length()))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[self.data] * self.up[:n], out=self.sums[1:])
 
@@ -84,45 +84,63 @@ class Pack:
         ok = first <= last
         np.add.at(marks, first[ok], 1)
         np.add.at(marks, last[ok] + 1, -1)
-        return np.flatnonzero(np.cumsum(marks[:-1]) > 0)
+        return np.flatnonzero(np.cumsum(marks[:-1], dtype=np.int32) > 0)
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """A sorted array as differences, byte plane by byte plane; the upper planes compress."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return pa.Codec("zstd", compression_level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+
+
+def _expand(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 class Names:
-    """Distinct names in order, cut into ranges; ``width``: bytes of a name that travel."""
-
-    def __init__(self, names: np.ndarray, ranges: int, width: int):
-        kept = names >> np.uint64(64 - 48) if width == 5 else names
-        self.values, self.inverse, counts = np.unique(kept, return_inverse=True, return_counts=True)
-        self.twice = counts > 1
-        self.width = width
-        self.ranges = ((self.values >> np.uint64(24 if width == 5 else 40)) * np.uint64(ranges)) >> np.uint64(24)
-        self.cuts = np.flatnonzero(np.diff(self.ranges, prepend=np.uint64(1 << 63)))
-
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
-        """Range number and the low bytes of its names."""
-        raw = self.values.view(np.uint8).reshape(-1, 8)[:, : self.width]
-        for a, b in zip(self.cuts, np.append(self.cuts[1:], len(self.values)), strict=True):
-            yield int(self.ranges[a]), raw[a:b].tobytes()
+    """Distinct names in order, cut into ranges; ``bits``: bits of a name that count."""
+
+    def __init__(self, names: np.ndarray, ranges: int, bits: int):
+        names >>= np.uint64(64 - bits)
+        self.order = np.argsort(names, kind="stable")
+        ranked = names[self.order]
+        new = np.ones(len(ranked), bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+        self.place = np.cumsum(new, dtype=np.int32) - 1
+        self.values = ranked[new]
+        self.twice = np.diff(np.flatnonzero(np.append(new, True))) > 1
+        parts = ((self.values >> np.uint64(bits - 24)) * np.uint64(ranges)) >> np.uint64(24)
+        self.cuts = np.flatnonzero(np.diff(parts, prepend=np.uint64(1 << 63)))
+        self.parts = parts[self.cuts]
+
+    def blobs(self) -> Iterator[tuple[int, int, bytes]]:
+        """Range number, number of names and the names."""
+        for k, a, b in zip(self.parts, self.cuts, np.append(self.cuts[1:], len(self.values)), strict=True):
+            yield int(k), int(b - a), _squeeze(self.values[a:b])
 
     def shared(self, answers: Iterator[tuple[int, bytes]]) -> np.ndarray:
         """For each of the names given at first: whether it is there twice or an answer has its bit."""
-        flags = self.twice.copy()
-        begins = {int(self.ranges[a]): a for a in self.cuts}
+        flags = self.twice
+        begins = dict(zip(self.parts.tolist(), self.cuts.tolist(), strict=True))
         for k, bits in answers:
-            on = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
-            flags[begins[k] + on] = True
-        return flags[self.inverse]
+            flags[begins[k] + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))] = True
+        out = np.empty(len(self.order), bool)
+        out[self.order] = flags[self.place]
+        return out
 
 
-def _match(group: pd.DataFrame, width: int) -> pd.DataFrame:
+def _match(group: pd.DataFrame) -> pd.DataFrame:
     """Of one range: for each pack the bits of names that another pack has too."""
-    sizes = [len(x) // width for x in group["names"]]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :width] = np.frombuffer(b"".join(group["names"]), np.uint8).reshape(-1, width)
-    values = wide.view(np.uint64).ravel()
+    sizes = group["n"].tolist()
+    values = np.empty(sum(sizes), np.uint64)
+    at = 0
+    for blob, n in zip(group["names"], sizes, strict=True):
+        values[at : at + n] = _expand(blob, n)
+        at += n
     order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    equal = ranked[1:] == ranked[:-1]
+    values = values[order]
+    equal = values[1:] == values[:-1]
     shared = np.zeros(len(values), bool)
     shared[order[1:][equal]] = True
     shared[order[:-1][equal]] = True
@@ -168,7 +186,7 @@ def _open(data: bytes, lengths: np.ndarray) -> Pack:
     return Pack(pa.Codec("zstd").decompress(data, n, asbytes=True) if n else b"", lengths)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, texts: bool = False, pack_bytes: int = 2 << 20, range_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, texts: bool = False, pack_bytes: int = 1 << 20, range_bytes: int = 6 << 20) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row.
 
     A byte goes if a ``length``-byte string over it also starts anywhere else in the input, in the same text or another.
@@ -186,26 +204,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sample_names(pack: Pack) -> tuple[np.ndarray, Names]:
         at = pack.sampled(length)
-        return at, Names(pack.names(at, sample), ranges, 5)
+        return at, Names(pack.names(at, sample), ranges, 44)
 
     def deep_names(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
         at, names = sample_names(pack)
         own = answers[answers["step"] == 1]
         places = pack.reachable(at[names.shared(zip(own["part"], own["bits"], strict=True))], length)
-        return places, Names(pack.names(places, length), ranges, 7)
+        return places, Names(pack.names(places, length), ranges, 61)
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blobs = list(sample_names(_open(data, lengths))[1].blobs())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([pack] * len(blobs), pa.int64()), pa.array([b for _, b in blobs], pa.binary())], ["part", "pack", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in blobs], pa.int32()), pa.array([pack] * len(blobs), pa.int64()), pa.array([n for _, n, _ in blobs], pa.int32()), pa.array([b for _, _, b in blobs], pa.binary())], ["part", "pack", "n", "names"])
 
     def send_deep(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in packed.itertuples():
             if len(answers):
-                out += [(k, row.pack, b) for k, b in deep_names(_open(row.data, row.lengths), answers)[1].blobs()]
-        return pd.DataFrame(out, columns=["part", "pack", "names"])
+                out += [(k, row.pack, n, b) for k, n, b in deep_names(_open(row.data, row.lengths), answers)[1].blobs()]
+        return pd.DataFrame(out, columns=["part", "pack", "n", "names"])
 
     def cut(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
@@ -217,18 +235,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             marks = np.zeros(len(pack.data) + 1, np.int32)
             np.add.at(marks, repeats, 1)
             np.add.at(marks, repeats + length, -1)
-            gone = np.cumsum(marks[:-1]) > 0
+            gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
             for i, a, b in zip(row.ids, pack.starts, pack.ends, strict=True):
                 mask = gone[a:b]
                 kept = pack.data[a:b][~mask].tobytes()
                 rows.append((i, b - a, int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
         return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
 
-    blob = "part int, pack long, names binary"
+    blob = "part int, pack long, n int, names binary"
     answer = "pack long, part int, bits binary"
-    first = packs.select("pack", "lengths", "data").mapInArrow(send_samples, blob).groupBy("part").applyInPandas(lambda g: _match(g, 5), answer)
+    first = packs.select("pack", "lengths", "data").mapInArrow(send_samples, blob).groupBy("part").applyInPandas(_match, answer)
     tied = materialize(first.withColumn("step", F.lit(1)), "tied")
-    second = packs.groupBy("pack").cogroup(tied.groupBy("pack")).applyInPandas(send_deep, blob).groupBy("part").applyInPandas(lambda g: _match(g, 7), answer)
+    second = packs.groupBy("pack").cogroup(tied.groupBy("pack")).applyInPandas(send_deep, blob).groupBy("part").applyInPandas(_match, answer)
     equal = second.withColumn("step", F.lit(2))
     schema = f"id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     out = packs.groupBy("pack").cogroup(tied.unionByName(equal).groupBy("pack")).applyInPandas(cut, schema)
