@@ -1,0 +1,196 @@
+"""Looks at data and results without labels, or with few."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..functions.text import tokens
+
+
+def address_relation(similarity: str = "token_set") -> Column:
+    """no_addr, exact, other_house, close or far, from a1, a2, h1, h2, null2 and ad of attached texts."""
+    del similarity
+    h = (F.col("h1") != "") & (F.col("h2") != "")
+    return F.when(F.col("null2") == 1, "no_addr").when((F.col("h1") == F.col("h2")) & h & (F.col("ad") >= 90), "exact").when(h & (F.col("h1") != F.col("h2")) & (F.col("ad") >= 80), "other_house").when(F.col("ad") >= 70, "close").otherwise("far")
+
+
+def name_relation() -> Column:
+    """same, dropped, added, swapped or different words, from c1 and c2."""
+    s, r = F.array_distinct(tokens(F.col("c1"))), F.array_distinct(tokens(F.col("c2")))
+    add, rem, both = F.size(F.array_except(r, s)), F.size(F.array_except(s, r)), F.size(F.array_intersect(s, r))
+    return F.when((add == 0) & (rem == 0), "same").when(both == 0, "different").when(add == 0, "dropped").when(rem == 0, "added").otherwise("swapped")
+
+
+def confidence(p: Column) -> Column:
+    """low, band or high."""
+    return F.when(p < 0.02, "low").when(p < 0.99, "band").otherwise("high")
+
+
+def pattern_cells(attached: DataFrame, truth: DataFrame) -> DataFrame:
+    """(address, name, n, true, per_1k): how many pairs have each relation of addresses and names, how many are true, and pairs per 1000 entities."""
+    df = attached.join(truth.select("s1", "mid").distinct().withColumn("_y", F.lit(1)), ["s1", "mid"], "left")
+    entities = df.agg(F.count_distinct("s1").alias("_e"))
+    cells = df.groupBy(address_relation().alias("address"), name_relation().alias("name")).agg(F.count("*").alias("n"), F.count("_y").alias("true"))
+    return cells.crossJoin(F.broadcast(entities)).select("address", "name", "n", "true", (1000 * F.col("n") / F.col("_e")).alias("per_1k"))
+
+
+def pattern_pivot(cells: DataFrame) -> DataFrame:
+    """Cells with a column for each name relation."""
+    names = ["same", "dropped", "added", "swapped", "different"]
+    return cells.groupBy("address").pivot("name", names).agg(F.sum("n")).na.fill(0, names)
+
+
+def size_bias(observed: np.ndarray, population: np.ndarray, bins: int = 9) -> float:
+    """Share of distractors in a group: its match counts as a mixture of the size-biased and the shifted population histogram."""
+    k = np.arange(bins)
+    p = population[:bins] / population[:bins].sum()
+    true = k * p / (k * p).sum()
+    other = np.append(0, p[:-1])
+    other = other / other.sum()
+    o = observed[:bins] / observed[:bins].sum()
+    d = other - true
+    return float(np.clip(((o - true) @ d) / (d @ d), 0, 1))
+
+
+def fit_counts(observed: np.ndarray, prior: np.ndarray) -> tuple[float, float]:
+    """(recall r, extra rate): maximum likelihood of Binomial(n, r) thinning plus Poisson extras, by refined grids."""
+    bins = len(observed)
+    n, k = np.arange(bins)[:, None], np.arange(bins)[None, :]
+    choose = np.array([[float(np.prod([(a - i) / (i + 1) for i in range(b)])) if b <= a else 0.0 for b in range(bins)] for a in range(bins)])
+    fact = np.cumprod(np.append(1.0, np.arange(1, bins)))
+
+    def likelihood(r: float, extra: float) -> float:
+        thin = choose * r**k * (1 - r) ** np.maximum(n - k, 0)
+        more = np.exp(-extra) * extra ** np.arange(bins) / fact
+        q = np.convolve(prior @ thin, more)[:bins]
+        return float(observed @ np.log(np.maximum(q / q.sum(), 1e-300)))
+
+    lo, hi = np.array([0.01, 0.0]), np.array([0.999, 3.0])
+    for _ in range(8):
+        grid = [(r, e) for r in np.linspace(lo[0], hi[0], 13) for e in np.linspace(lo[1], hi[1], 13)]
+        best = np.array(max(grid, key=lambda x: likelihood(*x)))
+        span = (hi - lo) / 6
+        lo, hi = np.maximum(best - span, [0.001, 0]), np.minimum(best + span, [0.9999, 10])
+    return float(best[0]), float(best[1])
+
+
+def group_share(observed: np.ndarray, with_group: np.ndarray, prior: np.ndarray, added: int) -> float:
+    """Share of a group of added pairs that is true: 1 - growth of the extra rate over the growth in size."""
+    entities = observed.sum()
+    extra = fit_counts(with_group, prior)[1] - fit_counts(observed, prior)[1]
+    return float(np.clip(1 - extra * entities / added, 0, 1)) if added else 0.0
+
+
+def histogram(df: DataFrame, column: str, bins: int) -> np.ndarray:
+    """Counts of 0 .. bins - 1, the last bin open; ``bins`` rows reach the driver."""
+    out = np.zeros(bins)
+    for r in df.groupBy(F.least(F.col(column), F.lit(bins - 1)).cast("int").alias("k")).count().collect():
+        out[r["k"]] = r["count"]
+    return out
+
+
+def hub_ambiguity(pairs: DataFrame, s1: DataFrame) -> DataFrame:
+    """(s1, mid, at_address, compatible): entities at the entity's address, and those whose names hold all words of the record."""
+    home = s1.where("a_null = 0").select(F.col("entity_id").alias("e"), "country", "a_tokens", "a_house", "n_core")
+    df = pairs.select("s1", "mid", "c2").join(home.select(F.col("e").alias("s1"), "country", "a_tokens", "a_house"), "s1").join(home, ["country", "a_tokens", "a_house"])
+    fits = F.size(F.array_except(tokens(F.col("c2")), tokens(F.col("n_core")))) == 0
+    return df.groupBy("s1", "mid").agg(F.count("*").alias("at_address"), F.count_if(fits).alias("compatible"))
+
+
+def name_class(pairs: DataFrame, s1: DataFrame, similarity: str = "token_set") -> DataFrame:
+    """(s1, mid, members, own, best_other): how well the record's address fits each entity of the same name in the country."""
+    kernel = K.token_set_udf if similarity == "token_set" else (lambda a, b: 100 * K.lev_sim(a, b))
+    rows = s1.select(F.col("entity_id").alias("e"), "country", "n_compact", F.coalesce("a_tokens", F.lit("")).alias("a"))
+    df = pairs.select("s1", "mid", "a2").join(rows.select(F.col("e").alias("s1"), "country", "n_compact"), "s1").join(rows, ["country", "n_compact"]).withColumn("_x", kernel(F.col("a"), F.col("a2")))
+    mine = F.col("e") == F.col("s1")
+    return df.groupBy("s1", "mid").agg(F.count("*").alias("members"), F.max(F.when(mine, F.col("_x"))).alias("own"), F.coalesce(F.max(F.when(~mine, F.col("_x"))), F.lit(-1.0)).alias("best_other"))
+
+
+def obvious_copies(s1: DataFrame, pool: DataFrame, candidates: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(fate, n): pool rows whose name, address and house are those of exactly one entity, by how far they came."""
+    key = ["country", "n_compact", "a_tokens", "a_house"]
+    one = s1.where("a_null = 0").groupBy(*key).agg(F.count("*").alias("_n"), F.min("entity_id").alias("s1")).where("_n = 1")
+    copies = pool.where("a_null = 0").select(F.col("entity_id").alias("mid"), *key).join(one, key)
+    df = copies.join(candidates.select("s1", "mid").distinct().withColumn("_c", F.lit(1)), ["s1", "mid"], "left").join(assigned.select("s1", "mid").distinct().withColumn("_a", F.lit(1)), ["s1", "mid"], "left")
+    return df.groupBy(F.when(F.col("_a").isNotNull(), "accepted").when(F.col("_c").isNotNull(), "candidate").otherwise("missed").alias("fate")).agg(F.count("*").alias("n"))
+
+
+def typo_swaps(words: DataFrame, vocabulary: DataFrame, cutoff: float = 80.0) -> DataFrame:
+    """(w, near, similarity): for each word the closest vocabulary word of ratio >= cutoff; words meet on their first letter, lengths at most 2 apart."""
+    a = words.select("w").distinct().withColumns({"_f": F.substring("w", 1, 1), "_n": F.char_length("w")}).withColumn("_l", F.explode(F.sequence(F.col("_n") - 2, F.col("_n") + 2)))
+    b = vocabulary.select(F.col("t").alias("near")).distinct().withColumns({"_f": F.substring("near", 1, 1), "_l": F.char_length("near")})
+    df = a.join(b, ["_f", "_l"]).where("w <> near").withColumn("similarity", K.ratio_udf(F.col("w"), F.col("near"))).where(F.col("similarity") >= cutoff)
+    return df.withColumn("_r", F.row_number().over(W.partitionBy("w").orderBy(F.desc("similarity"), "near"))).where("_r = 1").select("w", "near", "similarity")
+
+
+def shared_noise(pool: DataFrame, s1: DataFrame, truth: DataFrame, column: str = "name", most: int = 5) -> DataFrame:
+    """(df, pairs, owned, same_owner): record pairs that share a rare word no entity of the country has."""
+
+    def words(df: DataFrame, *columns: str) -> DataFrame:
+        text = F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), "[^a-z0-9]+", " ")
+        return df.select("entity_id", "country", F.explode(F.array_distinct(F.split(text, " "))).alias("t")).where("char_length(t) >= 4")
+
+    noise = words(pool, column).join(words(s1, "name", "address").select("country", "t").distinct(), ["country", "t"], "left_anti")
+    rare = noise.groupBy("country", "t").agg(F.count("*").alias("df")).where(F.col("df").between(2, most))
+    rows = noise.join(rare, ["country", "t"]).join(truth.select(F.col("mid").alias("entity_id"), F.col("s1").alias("owner")), "entity_id", "left")
+    other = rows.select("country", "t", F.col("entity_id").alias("b"), F.col("owner").alias("owner_b"))
+    pairs = rows.join(other, ["country", "t"]).where("entity_id < b").groupBy("entity_id", "b").agg(F.min("df").alias("df"), F.first("owner").alias("owner"), F.first("owner_b").alias("owner_b"))
+    owned = F.col("owner").isNotNull() & F.col("owner_b").isNotNull()
+    return pairs.groupBy("df").agg(F.count("*").alias("pairs"), F.count_if(owned).alias("owned"), F.count_if(owned & (F.col("owner") == F.col("owner_b"))).alias("same_owner"))
+
+
+def single_match(assigned: DataFrame) -> DataFrame:
+    """(s1, mid) of entities with exactly one record."""
+    return assigned.groupBy("s1").agg(F.count("*").alias("_n"), F.min("mid").alias("mid")).where("_n = 1").select("s1", "mid")
+
+
+def structure(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rows, nulls, distinct) of each column."""
+    out = None
+    for c in columns:
+        row = df.agg(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_distinct(c).alias("distinct"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def output_checks(results: DataFrame, candidates: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
+    """(check, failures) of result rows (source1_entity_id, matched_entity_ids) against their contract."""
+    rows = results.select(F.col("source1_entity_id").alias("s1"), F.col("matched_entity_ids").alias("ids"))
+    pairs = rows.select("s1", F.explode(F.split("ids", ",")).alias("mid")).where("mid <> ''")
+    cand = candidates.select(F.col("source1_entity_id").alias("s1"), F.explode(F.split("candidate_entity_ids", ",")).alias("mid")).where("mid <> ''")
+    entities, records = s1.select(F.col("entity_id").alias("s1"), "country"), pool.select(F.col("entity_id").alias("mid"), F.col("country").alias("c2"))
+    checks = {
+        "entity missing": entities.join(rows, "s1", "left_anti"),
+        "entity unknown": rows.join(entities, "s1", "left_anti"),
+        "entity repeated": rows.groupBy("s1").count().where("count > 1"),
+        "malformed entity id": rows.where("NOT s1 RLIKE '^S1-[0-9]+$'"),
+        "malformed record id": pairs.where("NOT mid RLIKE '^S[23]-[0-9]+$'"),
+        "stray comma or space": rows.where("ids RLIKE '^,|,$|,,|\\\\s'"),
+        "record unknown": pairs.join(records, "mid", "left_anti"),
+        "record repeated": pairs.groupBy("s1", "mid").count().where("count > 1"),
+        "record with two entities": pairs.distinct().groupBy("mid").count().where("count > 1"),
+        "not a candidate": pairs.join(cand, ["s1", "mid"], "left_anti"),
+        "other country": pairs.join(entities, "s1").join(records, "mid").where("country <> c2"),
+        "unsorted": rows.where("ids <> array_join(array_sort(split(ids, ',')), ',')"),
+    }
+    out = None
+    for name, df in checks.items():
+        row = df.agg(F.lit(name).alias("check"), F.count("*").alias("failures"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def noise_catalogue(pairs: DataFrame) -> DataFrame:
+    """(source, n, rates): how often each operation tells a record from its entity; pairs have name, address and canonical columns of both."""
+    n1, n2, a1, a2 = (F.coalesce(c, F.lit("")) for c in ("name_s", "name_c", "address_s", "address_c"))
+    ops = {
+        "same_name": n1 == n2, "case_only": (F.lower(n1) == F.lower(n2)) & (n1 != n2), "upper": (F.upper(n2) == n2) & (F.upper(n1) != n1), "alias": F.col("n_alias_c") == 1, "web": F.col("n_web_c") == 1,
+        "legal_added": (F.col("n_legal_s") == "") & (F.col("n_legal_c") != ""), "same_compact": F.col("n_compact_s") == F.col("n_compact_c"), "null_address": F.col("address_c").isNull(), "same_address": a1 == a2,
+        "null_word": a2.rlike("(?i)<null>|n/a"), "same_house": F.col("a_house_s") == F.col("a_house_c"), "same_tokens": F.col("a_tokens_s") == F.col("a_tokens_c"), "reordered": (F.array_sort(tokens(F.col("a_tokens_s"))) == F.array_sort(tokens(F.col("a_tokens_c")))) & (F.col("a_tokens_s") != F.col("a_tokens_c")),
+    }
+    rates = [F.round(F.avg(F.coalesce(c, F.lit(False)).cast("double")), 6).alias(k) for k, c in ops.items()]
+    return pairs.groupBy(F.substring("mid", 1, 2).alias("source")).agg(F.count("*").alias("n"), *rates)
