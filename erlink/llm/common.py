@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize, shared_dir
+
+__all__ = ["connected_components", "materialize", "read", "shared_dir", "small_batches"]
+
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """One table of the data directory, by Spark's own reader, pruned to ``columns`` if given."""
@@ -16,31 +17,11 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is empty (tests on one machine) a folder of our own is made and remembered.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="erlink-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let at most ``rows`` rows go to a Python worker at a time: texts are long, and a batch is in memory on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/erlink-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the smallest node reachable.
 
