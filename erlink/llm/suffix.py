@@ -116,7 +116,7 @@ class Names:
 
     def blobs(self) -> Iterator[tuple[int, int, bytes]]:
         """Range number, number of names and the names."""
-        for k, a, b in zip(self.parts, self.cuts, np.append(self.cuts[1:], len(self.values)), strict=True):
+        for k, a, b in zip(self.parts, self.cuts, [*self.cuts[1:], len(self.values)]):  # no names, no range
             yield int(k), int(b - a), _squeeze(self.values[a:b])
 
     def shared(self, answers: Iterator[tuple[int, bytes]]) -> np.ndarray:
