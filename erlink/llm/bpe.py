@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 
 #: The characters of Unicode's White_Space property, as the split pattern's \s sees them.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Marks that make a pre-token of their own after a word.
+MARKS = frozenset(",.:;!?)")
 #: Lead byte range -> (continuation bytes, range of the first of them), from the UTF-8 definition.
 UTF8_LEADS = (
     (0x00, 0x7F, 0, 0x00, 0x00),
@@ -44,7 +46,7 @@ class Transducer:
 
     START, ROOT = -1, 0
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 40_000):
         self.ranks = ranks
         self.text = {i: t for t, i in ranks.items()}
         self.max_states = max_states
@@ -106,7 +108,7 @@ class Transducer:
                 before, b = b + 1, split_b[0]
             else:  # equal tokens: the left one was merged first
                 before, b = b + 1, split_b[0]
-        if len(self.pairs) > 600_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         self.pairs[key] = answer
         return answer
@@ -147,16 +149,57 @@ class Transducer:
         found = self.moves[state << 8 | byte] = (number, emitted)
         return found
 
+    def _simulate(self, piece: bytes) -> list[int]:
+        """The same transducer without determinising: its paths depth first, longest tokens first.
+
+        Borders that hold so far make the one result of the prefix before them, so no place is reached by two paths, and the
+        work is at most the number of places times the longest token.
+        """
+        child, ends, pairs, n = self.child, self.ends, self.pairs, len(piece)
+        out: list[int] = []
+        open_: list[list[tuple[int, int]]] = []
+        at, last = 0, self.START
+        while at < n:
+            node, found, i = 0, [], at
+            while i < n:
+                node = child.get(node << 8 | piece[i])
+                if node is None:
+                    break
+                i += 1
+                if ends[node] >= 0:
+                    found.append((ends[node], i))
+            open_.append(found)
+            while True:
+                found = open_[-1]
+                if found:
+                    token, to = found.pop()
+                    fit = last < 0 or pairs.get(last << 32 | token)
+                    if fit or (fit is None and self.fits(last, token)):
+                        out.append(token)
+                        at, last = to, token
+                        break
+                else:
+                    open_.pop()
+                    out.pop()
+                    last = out[-1] if out else self.START
+        return out
+
     def encode(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token. A piece that is a token as a whole is that token, reachable by merges or not."""
+        """Ids of one pre-token. A piece that is a token as a whole is that token, reachable by merges or not.
+
+        Known transitions are followed; unknown ones are determinised while there is room for states. Beyond that the
+        states that are there stay, and pieces that leave them are simulated.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
         state, out, moves = 0, [], self.moves
         for byte in piece:
-            step = moves.get(state << 8 | byte) or self._move(state, byte)
+            step = moves.get(state << 8 | byte)
+            if step is None:
+                if len(self.states) >= self.max_states:
+                    return self._simulate(piece)
+                step = self._move(state, byte)
             state = step[0]
             out += step[1]
         return out + list(next(c[2] for c in self.states[state] if c[1] == self.ROOT))
@@ -200,69 +243,71 @@ class Utf8Machine:
 class Codec:
     """Whole texts to ids and back. Repeated chunks are looked up in a bounded memo of transducer results."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 200_000, max_words: int = 450_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 200_000):
         self.fst = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.odd = regex.compile(f" (?:[{WHITE}]|\\Z)")
-        self.max_memo, self.max_words = max_memo, max_words
-        self.first: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.rest: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.older: list[dict] = [{}, {}, {}]
+        self.max_memo = max_memo
+        self.rest: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
         self.plain: dict[int, str | None] = {}
         for i, token in self.fst.text.items():
             try:
                 self.plain[i] = token.decode()
             except UnicodeDecodeError:
                 self.plain[i] = None
+        self.by_decimal = {str(i): t for i, t in self.plain.items()}
 
-    def _word(self, text: str) -> list[int]:
-        found = self.words.get(text)
-        if found is None:
-            found = self.older[2].get(text)
-            if found is None:
-                found = self.fst.encode(text.encode())
-            if len(text) <= 32:
-                self.words[text] = found
-        return found
+    def _ids(self, piece: str) -> str:
+        return ",".join(map(str, self.fst.encode(piece.encode())))
 
-    def _chunk(self, level: int, memo: dict, key: str, text: str) -> tuple[tuple[int, ...], str]:
-        found = self.older[level].get(key)
+    def _pieces(self, text: str) -> str:
+        """Ids of all pre-tokens of a text, by a small memo."""
+        out = []
+        for m in self.pattern.finditer(text):
+            piece = m[0]
+            found = self.pieces.get(piece)
+            if found is None:
+                found = self._ids(piece)
+                if len(piece) <= 32:
+                    if len(self.pieces) > self.max_memo // 8:
+                        self.pieces.clear()
+                    self.pieces[piece] = found
+            out.append(found)
+        return ",".join(out)
+
+    def _chunk(self, key: str) -> str:
+        """Ids of a space and ``key``. A space and letters are one pre-token; a mark after letters is one of its own."""
+        found = self.older.get(key)
         if found is None:
-            if key.isalpha():  # a space and letters are one pre-token
-                ids = self._word(text)
-            elif key[:-1].isalpha() and key[-1] in ",.:;!?":
-                ids = self._word(text[:-1]) + self._word(text[-1])
+            word = key[:-1]
+            if key.isalpha():
+                found = self._ids(" " + key)
+            elif key[-1:] in MARKS and word.isalpha():
+                found = (self.rest.get(word) or self._chunk(word)) + "," + self._pieces(key[-1])
             else:
-                ids = [i for m in self.pattern.finditer(text) for i in self._word(m[0])]
-            found = (tuple(ids), ",".join(map(str, ids)))
-        if len(text) <= 64:
-            memo[key] = found
+                found = self._pieces(" " + key)
+        if len(key) <= 64:
+            self.rest[key] = found
         return found
 
-    def _age(self) -> None:
-        """Full memos become the older generation, whose entries return to the younger one when met again."""
-        if len(self.rest) > self.max_memo:
-            self.older[1], self.rest = self.rest, {}
-        if len(self.words) > self.max_words:
-            self.older[2], self.words = self.words, {}
-        if len(self.first) > self.max_memo // 8:
-            self.older[0], self.first = self.first, {}
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Results of the chunks of a text. A space before a non-space always starts a pre-token, so texts are cut there."""
+    def joined(self, text: str) -> str:
+        """Decimal ids of a text, comma-joined. A space before a non-space always starts a pre-token, so texts are cut there."""
         if not text:
-            return []
-        self._age()
+            return ""
+        if len(self.rest) > self.max_memo:  # entries come back from the older generation when met again
+            self.older, self.rest = self.rest, {}
         chunks = self.cut.split(text) if self.odd.search(text) else text.split(" ")
-        head = self.first.get(chunks[0]) or (chunks[0] and self._chunk(0, self.first, chunks[0], chunks[0]))
+        head = [self._pieces(chunks[0])] if chunks[0] else []
         get, make = self.rest.get, self._chunk
-        return ([head] if head else []) + [get(c) or make(1, self.rest, c, " " + c) for c in chunks[1:]]
+        return ",".join(head + [get(c) or make(c) for c in chunks[1:]])
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without special tokens."""
-        return [i for ids, _ in self.parts(text) for i in ids]
+        found = self.joined(text)
+        return list(map(int, found.split(","))) if found else []
 
     def decode_stream(self, blocks: Iterable[list[int]]) -> Iterator[str]:
         """Text of blocks of ids as they come; a character may span tokens and blocks."""
@@ -282,6 +327,12 @@ class Codec:
         """Text of all ids."""
         return "".join(self.decode_stream(ids[k : k + block] for k in range(0, len(ids), block)))
 
+    def decode_joined(self, ids: str) -> str:
+        """Text of comma-joined decimal ids; those that hold whole characters only are looked up, others go the streaming way."""
+        tokens = ids.split(",") if ids else []
+        texts = list(map(self.by_decimal.__getitem__, tokens))
+        return self.decode(list(map(int, tokens))) if None in texts else "".join(texts)
+
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -305,12 +356,11 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for text in batch.column(1):
-                parts = c.parts(text.as_py() or "")
-                found = [i for p in parts for i in p[0]]
-                rows[0].append(found if ids else None)
-                rows[1].append(len(found))
-                rows[2].append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                rows[3].append(hashlib.sha256(c.decode(found).encode()).hexdigest())
+                found = c.joined(text.as_py() or "")
+                rows[0].append(list(map(int, found.split(","))) if ids and found else [] if ids else None)
+                rows[1].append(found.count(",") + bool(found))
+                rows[2].append(hashlib.sha256(found.encode()).hexdigest())
+                rows[3].append(hashlib.sha256(c.decode_joined(found).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.string())],
                 [id_col, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -331,9 +381,9 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             texts, counts = [], []
             for text in batch.column(k):
                 text = text.as_py()
-                found = c.encode(text or "")
-                texts.append(None if text is None else c.decode(found))
-                counts.append(len(found))
+                found = c.joined(text or "")
+                texts.append(None if text is None else c.decode_joined(found))
+                counts.append(found.count(",") + bool(found))
             columns = [pa.array(texts, pa.string()) if i == k else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_tokens"])
 

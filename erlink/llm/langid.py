@@ -55,7 +55,7 @@ def _grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, list[np
     return starts, ends, slots, folded[:n] != 32
 
 
-def _blocks(texts: list[str], size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _blocks(texts: list[str], size: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``size`` characters; a longer text has a range of its own."""
     start = total = 0
     for i, t in enumerate(texts):
