@@ -131,7 +131,8 @@ def round_two(scored: DataFrame, threshold: float, prior: DataFrame | None = Non
     if prior is not None:
         for side in ("own", "riv"):
             p = prior.select("src", F.col("k").cast("long").alias("_k"), F.col("llr").alias(f"r2_llr_{side}"))
-            out = out.withColumn("_k", F.least(F.col(f"r2_n_{side}_same"), F.lit(14)).cast("long")).join(p, ["src", "_k"], "left").drop("_k")
+            n = F.col(f"r2_n_{side}_same")
+            out = out.withColumn("_k", F.when(n > 14, 14).otherwise(n).cast("long")).join(p, ["src", "_k"], "left").drop("_k")
         out = out.withColumn("r2_llr_d", F.col("r2_llr_own") - F.col("r2_llr_riv"))
     return out
 
