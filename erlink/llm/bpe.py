@@ -149,16 +149,16 @@ class Transducer:
         found = self.moves[state << 8 | byte] = (number, emitted)
         return found
 
-    def _simulate(self, piece: bytes) -> list[int]:
-        """The same transducer without determinising: its paths depth first, longest tokens first.
+    def _simulate(self, piece: bytes, out: list[int]) -> list[int]:
+        """The same transducer without determinising, from behind the tokens in ``out``: paths depth first, longest tokens first.
 
         Borders that hold so far make the one result of the prefix before them, so no place is reached by two paths, and the
         work is at most the number of places times the longest token.
         """
         child, ends, pairs, n = self.child, self.ends, self.pairs, len(piece)
-        out: list[int] = []
         open_: list[list[tuple[int, int]]] = []
-        at, last = 0, self.START
+        at = sum([len(self.text[t]) for t in out])
+        last = out[-1] if out else self.START
         while at < n:
             node, found, i = 0, [], at
             while i < n:
@@ -188,7 +188,7 @@ class Transducer:
         """Ids of one pre-token. A piece that is a token as a whole is that token, reachable by merges or not.
 
         Known transitions are followed; unknown ones are determinised while there is room for states. Beyond that the
-        states that are there stay, and pieces that leave them are simulated.
+        states that are there stay, and pieces that leave them are simulated from what is emitted by then.
         """
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -198,7 +198,7 @@ class Transducer:
             step = moves.get(state << 8 | byte)
             if step is None:
                 if len(self.states) >= self.max_states:
-                    return self._simulate(piece)
+                    return self._simulate(piece, out)
                 step = self._move(state, byte)
             state = step[0]
             out += step[1]
@@ -243,7 +243,7 @@ class Utf8Machine:
 class Codec:
     """Whole texts to ids and back. Repeated chunks are looked up in a bounded memo of transducer results."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 320_000):
         self.fst = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile(f" (?=[^{WHITE}])")
