@@ -11,9 +11,8 @@ from ..functions import kernels as K
 from ..functions.text import tokens
 
 
-def address_relation(similarity: str = "token_set") -> Column:
+def address_relation() -> Column:
     """no_addr, exact, other_house, close or far, from a1, a2, h1, h2, null2 and ad of attached texts."""
-    del similarity
     h = (F.col("h1") != "") & (F.col("h2") != "")
     return F.when(F.col("null2") == 1, "no_addr").when((F.col("h1") == F.col("h2")) & h & (F.col("ad") >= 90), "exact").when(h & (F.col("h1") != F.col("h2")) & (F.col("ad") >= 80), "other_house").when(F.col("ad") >= 70, "close").otherwise("far")
 

@@ -83,7 +83,7 @@ def region_folds(entities: DataFrame, folds: int) -> DataFrame:
             filled[out[-1]] += n
         return rows[["country", "region"]].assign(fold=out)
 
-    return blocks.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda r: deal(r), "country string, region string, fold int")
+    return blocks.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(deal, "country string, region string, fold int")
 
 
 def record_group_folds(scored: DataFrame, regions: DataFrame, folds: int) -> DataFrame:

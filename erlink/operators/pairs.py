@@ -21,7 +21,8 @@ def attach(pairs: DataFrame, s1: DataFrame, pool: DataFrame, columns: tuple[str,
 
 def fuzzy(df: DataFrame) -> DataFrame:
     """Adds the string similarities of names and addresses (0 to 100; nm_jw and nm_lev 0 to 1)."""
-    core, compact, canon, addr = (lambda c: (F.coalesce(f"{c}_s", F.lit("")), F.coalesce(f"{c}_c", F.lit(""))))("n_core"), *((F.coalesce(f"{c}_s", F.lit("")), F.coalesce(f"{c}_c", F.lit(""))) for c in ("n_compact", "n_canon", "a_tokens"))
+    both = lambda c: (F.coalesce(f"{c}_s", F.lit("")), F.coalesce(f"{c}_c", F.lit("")))
+    core, compact, canon, addr = map(both, ("n_core", "n_compact", "n_canon", "a_tokens"))
     return df.withColumns(
         {
             "nm_ratio": K.ratio_udf(*core),
