@@ -243,7 +243,7 @@ class Utf8Machine:
 class Codec:
     """Whole texts to ids and back. Repeated chunks are looked up in a bounded memo of transducer results."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 320_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 520_000):
         self.fst = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.cut = regex.compile(f" (?=[^{WHITE}])")
@@ -371,7 +371,8 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Documents whose text is what decoding its ids gives, with the number of tokens as ``n_tokens``; all columns stay."""
+    """Documents whose text is what decoding its ids gives, with the number of tokens as ``n_tokens`` (replaced if there); all columns stay."""
+    docs = docs.drop("n_tokens")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

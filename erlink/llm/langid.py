@@ -144,11 +144,12 @@ def score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``lang_pred``, ``score``; a map without shuffle.
+    """All columns of ``docs`` and ``lang_pred``, ``score`` (columns of these names are replaced); a map without shuffle.
 
     The label, source and id columns are not looked at. Null and letterless texts give ``und`` and 0.0. Equal texts give equal
     results, ties go to the first language by name. The matrix is broadcast: languages x 3 x 2**bits numbers, whatever the input.
     """
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -136,5 +136,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs``, a stored table, as often as :func:`mix` takes them."""
-    taken = mix(docs, **options).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_row", "_copies", "_copy")
+    taken = mix(docs, **options).where("copies > 0").select("_row", "copies")
+    placed = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    return placed.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

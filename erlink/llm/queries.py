@@ -18,6 +18,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.train(docs)
@@ -37,8 +46,8 @@ def list_entries(pages: DataFrame) -> DataFrame:
     numbered = hosts.withColumn("u", u)
     listed = numbered.where("u % 3 < 2").select("pattern", day(F.col("u") % 200).alias("listed_on"), F.lit("block").alias("action"))
     freed = numbered.where("u % 2 = 0").select("pattern", day(F.col("u") % 200 + 30 + F.col("u") % 50).alias("listed_on"), F.lit("allow").alias("action"))
-    fixed = pages.sparkSession.createDataFrame([("spam-farm.example.org", "2024-02-01", "block"), ("example.net", "2024-09-01", "block"), ("example.net", "2024-10-01", "allow")], "pattern string, d string, action string")
-    return listed.unionByName(freed).unionByName(fixed.select("pattern", F.col("d").cast("date").alias("listed_on"), "action"))
+    fixed = pages.sparkSession.sql("SELECT * FROM VALUES ('spam-farm.example.org', DATE '2024-02-01', 'block'), ('example.net', DATE '2024-09-01', 'block'), ('example.net', DATE '2024-10-01', 'allow') AS t(pattern, listed_on, action)")
+    return listed.unionByName(freed).unionByName(fixed)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +89,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM d),
+w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS b, CASE WHEN length(h) // 2 - i >= 200 THEN md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) END AS k FROM p),
+r AS (SELECT k FROM w WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+x AS (SELECT doc_id, i, b, max(CASE WHEN r.k IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM w LEFT JOIN r ON r.k = w.k),
+y AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM x),
+g AS (SELECT doc_id, count(*) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
@@ -95,8 +116,7 @@ SELECT * FROM ranked WHERE rank <= 5
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    said = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    more = spark.sql("SELECT -1L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     return chat.digest(chat.format_conversations(turns.unionByName(more)))
 
 
@@ -127,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL, "op8_topk_search": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op4_url_filter": OP4_SQL, "op7_suffix_dedup": OP7_SQL, "op8_topk_search": OP8_SQL, "op9_chat_format": OP9_SQL}

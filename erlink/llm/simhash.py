@@ -51,8 +51,8 @@ def fold(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> DataFrame:
-    """All columns but the text, and ``fp`` (the 64 bits as a signed long); null and blank texts have 0. A map without shuffle."""
-    names = [n for n in docs.columns if n != text_col]
+    """All columns but the text, and ``fp`` (the 64 bits as a signed long, replaced if there); null and blank texts have 0. A map without shuffle."""
+    names = [n for n in docs.columns if n not in (text_col, "fp")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +95,7 @@ def groups(prints: DataFrame, id_col: str = "doc_id", bits: int = 2) -> DataFram
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp")).select("fp", "_least", "_root")
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     labels = materialize(rooted.join(least, "_root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp")
+    return prints.drop("component_id").join(labels, "fp")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
@@ -103,9 +103,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are told apart by their place in the scan, which is the same in every run over one stored table.
     """
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
-    prints = materialize(fingerprints(placed.select(F.col(id_col).alias("_id"), text_col, "_row"), text_col), "prints")
+    placed = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    prints = materialize(fingerprints(placed.select(F.col("_doc")[id_col].alias("_id"), F.col("_doc")[text_col].alias("_text"), "_row"), "_text"), "prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))).alias("_first")), "fps")
     roots = connected_components(linked(nodes, bits))
     kept = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("_root")).agg(F.min("_first").alias("_first")).select(F.col("_first.r").alias("_row"))
-    return placed.join(kept, "_row", "left_semi").drop("_row")
+    return placed.join(kept, "_row", "left_semi").select("_doc.*")

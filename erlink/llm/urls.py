@@ -24,14 +24,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_on") -> DataFrame:
-    """All columns of ``captures`` and ``host``, ``rule``, ``action``, ``allowed``.
+    """All columns of ``captures`` and ``host``, ``rule``, ``action``, ``allowed`` (columns of these names are replaced).
 
     A capture is held against the entries for its host and each parent domain that were active at its time; the longest
     pattern decides. Without one it is allowed, so are null URLs and null times. Every row comes out once, repeated or not.
     The join is on the pattern, with the interval as a further condition, so that only a host's own entries are read; hot
     hosts are split by the engine's skew handling.
     """
-    columns = captures.columns
+    columns = [c for c in captures.columns if c not in ("host", "rule", "action", "allowed")]
     rows = captures.select(F.struct(*columns).alias("_all"), F.monotonically_increasing_id().alias("_row"), host(F.col(url_col)).alias("_host"), F.col(time_col).alias("_at"))
     labels = F.split("_host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))

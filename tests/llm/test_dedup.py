@@ -65,8 +65,8 @@ def test_grid_join_loses_nothing(spark):
 
 def test_simhash_groups_and_edges(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from here " * 20
-    docs = spark.createDataFrame([(5, text, "z", 1), (3, text.upper(), "z", 1), (9, "other words entirely " * 30, "z", 1), (7, None, "z", 1), (8, " ", "z", 1), (None, text, "z", 1), (5, text, "z", 1)], "doc_id long, text string, fp2 string, component int")
-    prints = common.materialize(simhash.fingerprints(docs.select("doc_id", "text")), "t")
+    docs = spark.createDataFrame([(5, text, "z", 1), (3, text.upper(), "z", 1), (9, "other words entirely " * 30, "z", 1), (7, None, "z", 1), (8, " ", "z", 1), (None, text, "z", 1), (5, text, "z", 1)], "doc_id long, text string, fp string, _row int")
+    prints = common.materialize(simhash.fingerprints(docs.withColumn("component_id", F.lit("c"))), "t")
     got = sorted((str(r.doc_id), r.component_id) for r in simhash.groups(prints).collect())
     assert got == sorted([("5", 3), ("3", 3), ("9", 9), ("7", 7), ("8", 7), ("None", 3), ("5", 3)])
     kept = simhash.deduplicate(common.materialize(docs, "d"))

@@ -81,7 +81,7 @@ def test_bpe_column(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     kept = bpe.round_trip(spark.createDataFrame(ODD, SCHEMA), PATH, public_tokenizers.PATTERN)
-    assert [r[1] for r in kept.orderBy("doc_id").collect()] == [r[1] for r in spark.createDataFrame(ODD, SCHEMA).orderBy("doc_id").collect()]
+    assert [r.text for r in kept.orderBy("doc_id").collect()] == [r[1] for r in spark.createDataFrame(ODD, SCHEMA).orderBy("doc_id").collect()]
     assert bpe.encode_column(spark.createDataFrame([], SCHEMA), PATH, public_tokenizers.PATTERN).count() == 0
 
 
@@ -107,7 +107,7 @@ def test_langid_batch_does_not_matter(model):
 
 
 def test_langid_edges(spark, model):
-    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long, other double, ids string")
+    docs = spark.createDataFrame(ODD, SCHEMA)
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
     assert got[2, None] == got[3, ""] == ("und", 0.0)
     assert got[4, "  \n\t 123 ... "][0] == "und"
