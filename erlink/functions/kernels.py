@@ -1,8 +1,9 @@
-"""String-similarity kernels, run over Arrow batches once for each distinct pair in a batch."""
+"""String-similarity kernels, run over Arrow batches, remembering recent pairs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,19 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over the longer string."""
-    if len(a) > len(b):
-        a, b = b, a
+def _places(s: str) -> dict[str, int]:
+    """Character -> bits of its places."""
     where: dict[str, int] = {}
-    for i, c in enumerate(b):
+    for i, c in enumerate(s):
         where[c] = where.get(c, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    free = full
-    for c in a:
+    return where
+
+
+def _matched(where: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of ``other`` and the n characters in ``where``, bit-parallel."""
+    full = free = (1 << n) - 1
+    for c in other:
         hit = free & where.get(c, 0)
         free = ((free + hit) | (free - hit)) & full
-    return len(b) - free.bit_count()
+    return n - free.bit_count()
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _matched(_places(a), len(a), b)
 
 
 def ratio(a: str, b: str) -> float:
@@ -54,11 +62,20 @@ def partial_ratio(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n = len(a)
-    windows = (b[max(0, i) : i + n] for i in range(1 - n, len(b)))
-    best = max(ratio(a, w) for w in dict.fromkeys(windows))
-    if len(a) == len(b):
-        best = max(best, *(ratio(b, a[max(0, i) : i + n]) for i in range(1 - n, n)))
+    if a in b:
+        return 100.0
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) else best
+
+
+def _best_window(a: str, b: str) -> float:
+    """A window that ends (or, cut at the right, begins) with a character that ``a`` lacks is no better than one without it."""
+    where, n, best = _places(a), len(a), 0.0
+    for end in range(1, len(b) + n):
+        start = max(0, end - n)
+        if b[end - 1 if end <= len(b) else start] in where:
+            window = b[start:end]
+            best = max(best, 200.0 * _matched(where, n, window) / (n + len(window)))
     return best
 
 
@@ -94,16 +111,17 @@ def is_subsequence(a: str, b: str) -> bool:
     return common_subsequence(a, b) == len(a)
 
 
+@lru_cache(None)
+def _remembered(kernel: Callable[[str, str], float]) -> Callable[[str, str], float]:
+    """The kernel with a bounded memory of this process: names and addresses come in few distinct pairs."""
+    return lru_cache(1 << 16)(kernel)
+
+
 def _udf(kernel: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
     @F.pandas_udf(DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        done: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair not in done:
-                done[pair] = None if pair[0] is None or pair[1] is None else float(kernel(*pair))
-            out.append(done[pair])
-        return pd.Series(out, dtype="float64")
+        known = _remembered(kernel)
+        return pd.Series([None if x is None or y is None else float(known(x, y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return run
 

@@ -40,7 +40,10 @@ def weights(docs: DataFrame, block: Sequence[str], key: Sequence[str], terms: F.
 
 
 def _sides(s1: DataFrame, pool: DataFrame, block: Sequence[str], terms: F.Column, **options: object) -> tuple[DataFrame, DataFrame]:
-    """Weights of both sides, fitted on both together."""
+    """Weights of both sides, fitted on both together; blocks with one side only have no pairs and are left out first."""
+    keys = list(block)
+    blocks = s1.select(*keys).distinct()
+    pool = pool.join(blocks, keys, "left_semi")
     a = s1.withColumn("_side", F.lit(0))
     both = a.unionByName(pool.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     w = weights(both, block, ["_side", "entity_id"], terms, **options)
