@@ -152,6 +152,8 @@ def test_secret_model_adds_and_keeps(spark):
     assert rows[0][1].spans == f"model:11:{11 + len(key)}" and rows[0][1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert rows[1][1].spans == "" and rows[2][1].n_hex == 0
     assert rows[4][1].spans == "assign:0:18" and rows[4][1].base_sha256 == hashlib.sha256(b"assign:0:18").hexdigest()
+    assert [len(r.scores) for _, r in rows] == [1, 0, 0, 0, 1] and all(0 <= p <= 1 for _, r in rows for p in r.scores)
+    assert rows[0][1].scores[0] >= NET.threshold
     clean = {r.doc_id: r.text for r in secrets.redact(docs, NET).collect()}
     assert clean[1] == "use bearer [secret] for this" and clean[4] == "[secret]" and clean[3] is None
     assert secrets.find(docs.limit(0), NET).count() == 0
