@@ -201,10 +201,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = packs.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
     ranges = int(min(1 << 24, max(4, total // range_bytes)))
     sample = length - COVER_MOD + 1
+    sample_bits = min(60, max(32, int(total * len(COVER) // COVER_MOD + 1).bit_length() + 12))  # one false tie in 4,096 at most
 
     def sample_names(pack: Pack) -> tuple[np.ndarray, Names]:
         at = pack.sampled(length)
-        return at, Names(pack.names(at, sample), ranges, 44)
+        return at, Names(pack.names(at, sample), ranges, sample_bits)
 
     def deep_names(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
         at, names = sample_names(pack)
