@@ -23,6 +23,16 @@ def _valid(vec_col: str) -> str:
     return f"`{vec_col}` IS NOT NULL AND forall(`{vec_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(CAST(x AS DOUBLE)) < double('inf')) AND exists(`{vec_col}`, x -> x <> 0)"
 
 
+def _spread(vectors: np.ndarray, most: int, apart: float) -> np.ndarray:
+    """The first ``most`` of the vectors, in their order, that have a cosine below ``apart`` to all taken before."""
+    best, taken = np.full(len(vectors), -np.inf), []
+    for i in range(len(vectors)):
+        if len(taken) < most and best[i] < apart:
+            taken.append(i)
+            best = np.maximum(best, vectors @ vectors[i])
+    return vectors[taken]
+
+
 def _sweep(rows: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
     """Links of one tile: for each vector its number of linked rows, and its root in the tile's graph.
 
@@ -66,23 +76,25 @@ def _sweep(rows: pd.DataFrame, least: float, shared: int) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids[on], "links": links[on], "root": ids[root][on]})
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, references: int = 256, nearest: int = 12, shared: int = 3, tile: int = 1024, seed: int = 3) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = 0.98, references: int = 256, nearest: int = 12, shared: int = 3, tile: int = 1024, seed: int = 3, apart: float = 0.9) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
     Rows are compared if their labels are equal and not null; null, zero and non-finite vectors link with nothing, neither do
     rows with a null id or a length other than the sample's most frequent. Equal vectors of one label are one node with a
-    count (they link with each other). The reference points are ``references`` vectors, those with the smallest hash (the
-    documented sample that the index is fitted on); every row is indexed. Of its ``nearest`` reference points a vector needs to
+    count (they link with each other). The reference points are ``references`` vectors at most, taken in the order of their
+    hash from the first eight times as many (the documented sample that the index is fitted on), no two with a cosine of
+    ``apart`` or more: points inside one group of near copies would come in another order for each of its members, which would
+    then share too few. Where the sample has ``nearest`` such vectors or fewer, every pair is compared. Every row is indexed. Of its ``nearest`` reference points a vector needs to
     be listed only under the first nearest - shared + 1 by number, since two vectors with ``shared`` in common meet there. Long
     lists are cut into tiles of about ``tile`` rows; each pair of tiles is a task of its own and gives two numbers a vector.
     """
     rows = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), F.col(label_col).alias("_l")).where(f"_l IS NOT NULL AND _id IS NOT NULL AND {_valid('_v')}")
     reps = materialize(rows.groupBy("_l", "_v").agg(F.min("_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    sample = [r["_v"] for r in reps.orderBy(F.xxhash64("_v", F.lit(seed)), "rep").limit(references).select("_v").collect()]
+    sample = [r["_v"] for r in reps.orderBy(F.xxhash64("_v", F.lit(seed)), "rep").limit(8 * references).select("_v").collect()]
     ids = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v"), F.col(label_col).alias("_l"))
     if sample:
         width = max({len(v) for v in sample}, key=[len(v) for v in sample].count)
-        points = _unit([v for v in sample if len(v) == width])
+        points = _spread(_unit([v for v in sample if len(v) == width]), references, apart)
         m = min(nearest, len(points))
         need = min(shared, m)
 

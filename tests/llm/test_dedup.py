@@ -150,3 +150,17 @@ def test_embedding_copies_count_each_other(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0, 1.0], 1) for i in range(9)] + [(20, [1.0, 0.0, 1.0], 2)], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pivots.near_duplicates(df).collect()}
     assert got == {i: (8, 0, i == 0) for i in range(9)} | {20: (0, 20, True)}
+
+
+def test_embeddings_with_a_third_in_one_group(spark):
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(2400, 64))
+    vecs[:800] = vecs[0] / np.linalg.norm(vecs[0]) + 0.1 * rng.normal(size=(800, 64)) / 8
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in pivots.near_duplicates(df).collect()}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert links[:800].mean() > 500
+    assert sum(r.n_links for r in got.values()) >= 0.99 * links.sum()
+    assert all(got[i].n_links <= links[i] for i in range(2400))
+    assert all(got[i].component_id == 0 for i in range(800))
