@@ -6,7 +6,8 @@ Only the first ``length`` bytes of suffixes matter here, so the difference-cover
    which both are sampled, so two equal 200-byte strings contain equal samples of 68 bytes. Samples are named (by a
    fingerprint of their bytes), sorted, and those whose name is unique drop out.
 2. The remaining suffixes, sampled or not, that a tied sample can reach are named to full depth, sorted and merged.
-3. Neighbours in that order with equal 200-byte prefixes are the repeats; what they cover is removed.
+3. Those whose name is found in two places are named once more, by polynomials modulo a prime that have nothing to do with
+   the first names. Places that have company under both names are the repeats; what they cover is removed.
 
 Texts travel as packs of about 1 MB. Names travel as sorted arrays, one for each pack and name range, with inner duplicates
 taken out first, so that a passage in a third of all documents adds one entry a pack to one range. Ranges are about as many
@@ -16,7 +17,7 @@ as the input has blocks of 6 MB. What comes back is one bit a name.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,8 @@ COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 
 _BASE = 0x9E3779B97F4A7C15  # 5 modulo 8
 _BYTES = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
+_PRIME = (1 << 31) - 1
+_POINTS = (0x2C5E9B41, 0x61D3A8F7)
 _COVERED = np.isin(np.arange(COVER_MOD), COVER)
 
 
@@ -44,6 +47,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
+@lru_cache(4)
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    out = np.ones(n, np.uint32)
+    k = 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)].astype(np.uint64) * pow(base, k, _PRIME) % _PRIME
+        k *= 2
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
 class Pack:
     """Bytes of some texts in a row, their bounds, and fingerprints of their windows."""
 
@@ -59,12 +80,20 @@ class Pack:
 
     def names(self, at: np.ndarray, width: int) -> np.ndarray:
         """Mixed 64-bit fingerprints of the ``width`` bytes from each place."""
-        h = (self.sums[at + width] - self.sums[at]) * self.down[at]
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xFF51AFD7ED558CCD)
-        h ^= h >> np.uint64(33)
-        h *= np.uint64(0xC4CEB9FE1A85EC53)
-        return h ^ (h >> np.uint64(33))
+        return _mixed((self.sums[at + width] - self.sums[at]) * self.down[at])
+
+    def second_names(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Fingerprints that are independent of ``names``: the windows as polynomials at two points modulo a prime, 62 bits, mixed."""
+        h = np.zeros(len(at), np.uint64)
+        n = len(self.data)
+        for base in _POINTS:
+            size = len(self.up)
+            up, down = _prime_powers(size, base), _prime_powers(size, pow(base, -1, _PRIME))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n] % np.uint64(_PRIME), out=sums[1:])
+            h <<= np.uint64(31)
+            h |= (sums[at + width] - sums[at]) % np.uint64(_PRIME) * down[at] % np.uint64(_PRIME)
+        return _mixed(h)
 
     def sampled(self, length: int) -> np.ndarray:
         """Places of the difference cover, counted from each text's start, whose sample fits into a text of ``length`` bytes or more."""
@@ -213,25 +242,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         places = pack.reachable(at[names.shared(zip(own["part"], own["bits"], strict=True))], length)
         return places, Names(pack.names(places, length), ranges, 61)
 
+    def last_names(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
+        places, names = deep_names(pack, answers)
+        own = answers[answers["step"] == 2]
+        places = places[names.shared(zip(own["part"], own["bits"], strict=True))]
+        return places, Names(pack.second_names(places, length), ranges, 61)
+
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, lengths, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blobs = list(sample_names(_open(data, lengths))[1].blobs())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in blobs], pa.int32()), pa.array([pack] * len(blobs), pa.int64()), pa.array([n for _, n, _ in blobs], pa.int32()), pa.array([b for _, _, b in blobs], pa.binary())], ["part", "pack", "n", "names"])
 
-    def send_deep(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in packed.itertuples():
-            if len(answers):
-                out += [(k, row.pack, n, b) for k, n, b in deep_names(_open(row.data, row.lengths), answers)[1].blobs()]
-        return pd.DataFrame(out, columns=["part", "pack", "n", "names"])
+    def send(named: Callable) -> Callable:
+        def run(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for row in packed.itertuples():
+                if len(answers):
+                    out += [(k, row.pack, n, b) for k, n, b in named(_open(row.data, row.lengths), answers)[1].blobs()]
+            return pd.DataFrame(out, columns=["part", "pack", "n", "names"])
+
+        return run
 
     def cut(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         for row in packed.itertuples():
             pack = _open(row.data, row.lengths)
-            places, names = deep_names(pack, answers)
-            own = answers[answers["step"] == 2]
+            places, names = last_names(pack, answers)
+            own = answers[answers["step"] == 3]
             repeats = places[names.shared(zip(own["part"], own["bits"], strict=True))]
             marks = np.zeros(len(pack.data) + 1, np.int32)
             np.add.at(marks, repeats, 1)
@@ -247,8 +285,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     answer = "pack long, part int, bits binary"
     first = packs.select("pack", "lengths", "data").mapInArrow(send_samples, blob).groupBy("part").applyInPandas(_match, answer)
     tied = materialize(first.withColumn("step", F.lit(1)), "tied")
-    second = packs.groupBy("pack").cogroup(tied.groupBy("pack")).applyInPandas(send_deep, blob).groupBy("part").applyInPandas(_match, answer)
-    equal = second.withColumn("step", F.lit(2))
+    second = packs.groupBy("pack").cogroup(tied.groupBy("pack")).applyInPandas(send(deep_names), blob).groupBy("part").applyInPandas(_match, answer)
+    found = tied.unionByName(materialize(second.withColumn("step", F.lit(2)), "found"))
+    third = packs.groupBy("pack").cogroup(found.groupBy("pack")).applyInPandas(send(last_names), blob).groupBy("part").applyInPandas(_match, answer)
+    equal = third.withColumn("step", F.lit(3))
     schema = f"id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    out = packs.groupBy("pack").cogroup(tied.unionByName(equal).groupBy("pack")).applyInPandas(cut, schema)
+    out = packs.groupBy("pack").cogroup(found.unionByName(equal).groupBy("pack")).applyInPandas(cut, schema)
     return out.withColumnRenamed("id", id_col)

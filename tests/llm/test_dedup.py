@@ -164,3 +164,28 @@ def test_embeddings_with_a_third_in_one_group(spark):
     assert sum(r.n_links for r in got.values()) >= 0.99 * links.sum()
     assert all(got[i].n_links <= links[i] for i in range(2400))
     assert all(got[i].component_id == 0 for i in range(800))
+
+
+def test_suffix_false_first_names_remove_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdé "), n))
+    rows = [(1, word(500)), (2, word(500)), (3, word(300)), (5, "x" * 450)]
+    rows.append((4, rows[2][1][:250] + word(50)))
+    real = suffix.remove_repeats.__globals__["_open"]
+
+    def poor(data, lengths):  # names of two bits: most places have false company
+        pack = real(data, lengths)
+        names = pack.names
+        pack.names = lambda at, width: names(at, width) & np.uint64(3 << 62)
+        return pack
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(suffix)
+    monkeypatch.setattr(suffix, "_open", poor)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df).collect())
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix)
+    assert got == _slow_cut(rows, 200)
