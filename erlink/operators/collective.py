@@ -42,7 +42,7 @@ def group_features(scored: DataFrame, confident: float = CONFIDENT, low: float =
 def sibling_support(target: DataFrame, scored: DataFrame, records: DataFrame, similarity: str = "token_set", confident: float = CONFIDENT) -> DataFrame:
     """(s1, mid, sib_n, sib_name_max, sib_name_mean, sib_addr_max, sib_addr_mean, sib_house_n, sib_house_share) for each target pair.
 
-    Siblings are the entity's other pairs with p >= confident. Without one the counts are 0 and the rest -1.
+    Siblings are the entity's other pairs with p >= confident. Without one sib_n is 0 and the rest -1.
     """
     kernel = {"token_set": K.token_set_udf, "levenshtein": K.lev_sim}[similarity]
     rec = records.select(F.col("entity_id").alias("mid"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("n_core", "a_tokens", "a_house")])
@@ -52,19 +52,25 @@ def sibling_support(target: DataFrame, scored: DataFrame, records: DataFrame, si
     both = both.withColumns({"_n": kernel(F.col("n_core"), F.col("n_core_o")), "_a": kernel(F.col("a_tokens"), F.col("a_tokens_o")), "_h": house})
     agg = both.groupBy("s1", "mid").agg(F.count("*").alias("sib_n"), F.max("_n").alias("sib_name_max"), F.avg("_n").alias("sib_name_mean"), F.max("_a").alias("sib_addr_max"), F.avg("_a").alias("sib_addr_mean"), F.sum("_h").alias("sib_house_n"), F.avg("_h").alias("sib_house_share"))
     out = target.select("s1", "mid").join(agg, ["s1", "mid"], "left")
-    return out.na.fill(0, ["sib_n", "sib_house_n"]).na.fill(-1.0, ["sib_name_max", "sib_name_mean", "sib_addr_max", "sib_addr_mean", "sib_house_share"])
+    return out.na.fill(0, ["sib_n"]).na.fill(-1, ["sib_house_n"]).na.fill(-1.0, ["sib_name_max", "sib_name_mean", "sib_addr_max", "sib_addr_mean", "sib_house_share"])
 
 
-def direct_checks(pairs: DataFrame) -> DataFrame:
-    """(s1, mid, pf_*) of attached pairs: similarities and relations looked at once more for the uncertain ones."""
-    c = lambda x: F.coalesce(x, F.lit(""))
-    n1, n2, a1, a2, h1, h2 = (c(x) for x in ("n_core_s", "n_core_c", "a_tokens_s", "a_tokens_c", "a_house_s", "a_house_c"))
-    missing = lambda x, y: F.size(F.array_except(tokens(x), tokens(y)))
+def direct_checks(pairs: DataFrame, similarity: str = "fuzzy") -> DataFrame:
+    """(s1, mid, pf_*) of attached pairs: nine checks made once more for the uncertain ones.
+
+    ``similarity`` "levenshtein" takes the edit similarity in place of all four kernels, which SQL can express.
+    """
+    fields = {c: (F.coalesce(f"{c}_s", F.lit("")), F.coalesce(f"{c}_c", F.lit(""))) for c in ("n_core", "n_compact", "a_tokens", "a_house", "region")}
+    kernels = {"pf_name_tset": ("token_set", "n_core"), "pf_name_ratio": ("ratio", "n_compact"), "pf_addr_tset": ("token_set", "a_tokens"), "pf_addr_partial": ("partial", "a_tokens")}
+    if similarity == "fuzzy":
+        found = K.similarities(kernels, {c: fields[c] for c in ("n_core", "n_compact", "a_tokens")})
+    else:
+        found = F.struct(*[(100 * K.lev_sim(*fields[c])).alias(out) for out, (_, c) in kernels.items()])
+    (h1, h2), eq = fields["a_house"], lambda c: (fields[c][0] == fields[c][1]).cast("int")
     return pairs.select(
-        "s1", "mid", K.token_set_udf(n1, n2).alias("pf_name_tset"), K.token_sort_udf(n1, n2).alias("pf_name_tsort"), K.token_set_udf(a1, a2).alias("pf_addr_tset"),
-        ((h1 != "") & (h1 == h2)).cast("int").alias("pf_house_eq"), ((h1 != "") & (h2 != "") & (h1 != h2)).cast("int").alias("pf_house_diff"),
-        missing(n1, n2).alias("pf_name_dropped"), missing(n2, n1).alias("pf_name_added"), missing(a1, a2).alias("pf_addr_dropped"), missing(a2, a1).alias("pf_addr_added"),
-    )
+        "s1", "mid", found.alias("_f"), ((h1 == h2) & (h1 != "")).cast("int").alias("pf_house_eq"), ((h1 != "") & (h2 != "")).cast("int").alias("pf_house_both"),
+        F.coalesce("a_null_c", F.lit(1)).cast("int").alias("pf_c_addr_null"), eq("region").alias("pf_region_eq"), eq("n_compact").alias("pf_name_exact"),
+    ).select("s1", "mid", "_f.*", "pf_house_eq", "pf_house_both", "pf_c_addr_null", "pf_region_eq", "pf_name_exact")
 
 
 def logit(p: Column, clip: float = 1e-7) -> Column:
@@ -73,39 +79,61 @@ def logit(p: Column, clip: float = 1e-7) -> Column:
 
 
 def encoder_competition(scores: DataFrame, prefix: str = "ce", clip: float = 1e-6) -> DataFrame:
-    """(s1, mid, p_ce, prefix_*): competition by an encoder's score. Leaders that tie see each other, so their margin is 0."""
+    """(s1, mid, p_ce, prefix_*): competition by an encoder's score. Leaders that tie see each other, so their margin is 0.
+
+    A pair scored more than once counts once, with its largest score. ``_conf_other`` and ``_mid_conf_other`` count the
+    entity's and the record's other pairs of at least 0.5.
+    """
     p, sure = F.col("p_ce"), (F.col("p_ce") >= 0.5).cast("int")
-    df = scores.withColumns({"_best_s": F.max("p_ce").over(_by("s1")), "_sec_s": second("p_ce", _by("s1"), "mid"), f"{prefix}_conf_other": F.sum(sure).over(_by("s1")) - sure, f"{prefix}_rank_s1": F.row_number().over(_by("s1").orderBy(F.desc("p_ce"), "mid"))})
-    df = df.withColumns({"_best_m": F.max("p_ce").over(_by("mid")), "_sec_m": second("p_ce", _by("mid"), "s1")})
+    df = scores.groupBy("s1", "mid").agg(F.max("p_ce").alias("p_ce"))
+    df = df.withColumns({"_best_s": F.max("p_ce").over(_by("s1")), "_sec_s": second("p_ce", _by("s1"), "mid"), f"{prefix}_conf_other": F.sum(sure).over(_by("s1")) - sure, f"{prefix}_rank_s1": F.row_number().over(_by("s1").orderBy(F.desc("p_ce"), "mid"))})
+    df = df.withColumns({"_best_m": F.max("p_ce").over(_by("mid")), "_sec_m": second("p_ce", _by("mid"), "s1"), f"{prefix}_mid_conf_other": F.sum(sure).over(_by("mid")) - sure})
     df = df.withColumns({f"{prefix}_logit": logit(p, clip), f"{prefix}_rival": F.when(p == F.col("_best_m"), F.col("_sec_m")).otherwise(F.col("_best_m")), f"{prefix}_best_other": F.when(p == F.col("_best_s"), F.col("_sec_s")).otherwise(F.col("_best_s"))})
     return df.withColumn(f"{prefix}_margin", p - F.col(f"{prefix}_rival")).drop("_best_s", "_sec_s", "_best_m", "_sec_m")
 
 
 def band_encoder(scored: DataFrame, scores: DataFrame, name: str, low: float = LOW, high: float = HIGH) -> DataFrame:
     """Encoder competition over all pairs with p >= low: sure pairs count as 1, unscored ones drop out; columns carry ``name``."""
-    full = scored.where(F.col("p") >= low).select("s1", "mid", "p").join(scores.select("s1", "mid", "p_ce"), ["s1", "mid"], "left")
+    full = scored.where(F.col("p") >= low).select("s1", "mid", "p").join(scores.groupBy("s1", "mid").agg(F.max("p_ce").alias("p_ce")), ["s1", "mid"], "left")
     full = full.withColumn("p_ce", F.when(F.col("p") >= high, F.lit(1.0)).otherwise(F.col("p_ce"))).where("p_ce IS NOT NULL").drop("p")
     return encoder_competition(full, name).withColumnRenamed("p_ce", f"p_{name}")
 
 
-def address_neighbours(pairs: DataFrame, s1: DataFrame) -> DataFrame:
-    """(s1, mid, nb_n, nb_best, nb_margin): other entities at the entity's very address, and how well the record's name fits them.
+def address_neighbours(pairs: DataFrame, s1: DataFrame, similarity: str = "token_set") -> DataFrame:
+    """(s1, mid, nb_n, nb_best, nb_margin, nm_nocity): other entities at the entity's very address, and how well the record's name fits them.
 
-    ``pairs`` has n_core_c and name similarity ``own``. Neighbours come from a join on (country, address, house number).
+    ``pairs`` is attached. An address is (country, words, house number), both there. nb_best is the best name similarity of the
+    record with a neighbour (0 without one), nb_margin the similarity with the entity less that, nm_nocity the similarity of
+    both names without the words of the entity's address (a name of such words only stays). Entities at one address are
+    aggregated to their distinct names first, so that a hub costs its names, not its members, for each pair.
+    """
+    kernel = K.token_set_udf if similarity == "token_set" else lambda a, b: 100 * K.lev_sim(a, b)
+    key = ["country", "a_tokens", "a_house"]
+    home = s1.where("a_tokens <> '' AND a_house <> ''").select(F.col("entity_id").alias("s1"), *key, F.coalesce("n_core", F.lit("")).alias("_own"))
+    names = home.groupBy(*key, F.col("_own").alias("_name")).agg(F.count("*").alias("_k"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = pairs.select("s1", "mid", text("n_core_s").alias("_s"), text("n_core_c").alias("_c"), tokens(F.col("a_tokens_s")).alias("_a"))
+    near = rows.select("s1", "mid", "_c").join(home, "s1").join(names, key)
+    near = near.withColumn("_k", F.col("_k") - (F.col("_name") == F.col("_own")).cast("int")).where("_k > 0")
+    agg = near.withColumn("_x", kernel(F.col("_name"), F.col("_c"))).groupBy("s1", "mid").agg(F.sum("_k").alias("nb_n"), F.max("_x").alias("nb_best"))
+    bare = lambda c: F.array_join(F.filter(tokens(F.col(c)), lambda t: ~F.array_contains("_a", t)), " ")
+    rows = rows.withColumns({"_bs": F.when(bare("_s") == "", F.col("_s")).otherwise(bare("_s")), "_bc": F.when(bare("_c") == "", F.col("_c")).otherwise(bare("_c"))})
+    rows = rows.withColumns({"_self": kernel(F.col("_s"), F.col("_c")), "nm_nocity": kernel(F.col("_bs"), F.col("_bc"))})
+    out = rows.join(agg, ["s1", "mid"], "left").withColumn("nb_best", F.coalesce("nb_best", F.lit(0.0)))
+    return out.select("s1", "mid", F.coalesce("nb_n", F.lit(0)).alias("nb_n"), "nb_best", (F.col("_self") - F.col("nb_best")).alias("nb_margin"), "nm_nocity")
+
+
+def assemble(scored: DataFrame, features: DataFrame, *more: DataFrame, low: float = LOW, high: float = HIGH, drop: tuple[str, ...] = (), prior: DataFrame | None = None) -> DataFrame:
+    """Second-stage rows of the band: group features, first-stage features but ``drop`` as ``f1_*``, ln p and ln(1 - p), and whatever else is keyed by pair.
+
+    ``prior`` (mid, rp) adds how likely a record is to belong to anybody.
     """
-    home = s1.where("a_null = 0").select(F.col("entity_id").alias("e"), "country", "a_tokens", "a_house", "n_core")
-    near = home.select(F.col("e").alias("s1"), "country", "a_tokens", "a_house").join(home.select(F.col("e").alias("nb"), "country", "a_tokens", "a_house", F.col("n_core").alias("nb_core")), ["country", "a_tokens", "a_house"]).where("s1 <> nb")
-    sims = pairs.select("s1", "mid", "own", "n_core_c").join(near.select("s1", "nb", "nb_core"), "s1").withColumn("_s", K.token_set_udf(F.col("nb_core"), F.coalesce("n_core_c", F.lit(""))))
-    agg = sims.groupBy("s1", "mid").agg(F.count("*").alias("nb_n"), F.max("_s").alias("nb_best"))
-    out = pairs.select("s1", "mid", "own").join(agg, ["s1", "mid"], "left")
-    return out.select("s1", "mid", F.coalesce("nb_n", F.lit(0)).alias("nb_n"), F.coalesce("nb_best", F.lit(-1.0)).alias("nb_best"), F.coalesce(F.col("own") - F.col("nb_best"), F.lit(100.0)).alias("nb_margin"))
-
-
-def assemble(scored: DataFrame, features: DataFrame, *more: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """Second-stage rows of the band: group features, first-stage features as ``f1_*``, ln p and ln(1 - p), and whatever else is keyed by pair."""
     out = band(scored, low, high).select("s1", "mid").join(group_features(scored, low=low), ["s1", "mid"])
-    out = out.withColumns({"logp": F.ln(F.greatest("p", F.lit(1e-9))), "log1mp": F.ln(F.greatest(1 - F.col("p"), F.lit(1e-9)))})
-    out = out.join(features.select("s1", "mid", *[F.col(c).alias(f"f1_{c}") for c in features.columns if c not in ("s1", "mid", "hit")]), ["s1", "mid"], "left")
+    clipped = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    out = out.withColumns({"logp": F.ln(clipped), "log1mp": F.ln(1 - clipped)})
+    out = out.join(features.select("s1", "mid", *[F.col(c).alias(f"f1_{c}") for c in features.columns if c not in ("s1", "mid", "hit", *drop)]), ["s1", "mid"], "left")
+    if prior is not None:
+        out = out.join(prior.select("mid", "rp"), "mid", "left")
     for df in more:
         out = out.join(df, ["s1", "mid"], "left")
     return out
@@ -138,7 +166,10 @@ def round_two(scored: DataFrame, threshold: float, prior: DataFrame | None = Non
 
 
 def twins(scored: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
-    """(s1, mid, tw_n, tw_own, tw_oth, tw_qsum): records with the same name, address and house, accepted by this entity or others."""
+    """(s1, mid, tw_n, tw_own, tw_oth, tw_qsum): records with the same name, address and house, accepted by this entity or others.
+
+    The pair's own acceptance is taken off, also where the record has no twin: tw_own is then minus that, tw_oth minus a rival's.
+    """
     key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("n_compact", "a_tokens", "a_house")])
     tw = records.where("a_null = 0").select(F.col("entity_id").alias("mid"), key.alias("key"))
     tw = tw.withColumn("tw_size", F.count("*").over(W.partitionBy("key"))).where("tw_size >= 2")
@@ -148,7 +179,8 @@ def twins(scored: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
     own = k.groupBy("key", "s1").agg(F.sum("a").alias("k_own"), F.sum("q").alias("k_q"))
     every = k.groupBy("key").agg(F.sum("a").alias("k_all"))
     df = df.join(own, ["key", "s1"], "left").join(every, "key", "left").na.fill(0, ["k_own", "k_all"])
-    return df.select("s1", "mid", (F.coalesce("tw_size", F.lit(1)) - 1).alias("tw_n"), (F.col("k_own") - F.col("a")).alias("tw_own"), F.when(F.col("key").isNotNull(), F.col("k_all") - F.col("held") - (F.col("k_own") - F.col("a"))).otherwise(F.lit(0)).alias("tw_oth"), F.coalesce("k_q", "q").alias("tw_qsum"))
+    own = F.col("k_own") - F.col("a")
+    return df.select("s1", "mid", (F.coalesce("tw_size", F.lit(1)) - 1).alias("tw_n"), own.alias("tw_own"), (F.col("k_all") - F.col("held") - own).alias("tw_oth"), (F.coalesce("k_q", "q") - F.col("q")).alias("tw_qsum"))
 
 
 def record_features(records: DataFrame, s1: DataFrame) -> DataFrame:
@@ -157,9 +189,9 @@ def record_features(records: DataFrame, s1: DataFrame) -> DataFrame:
     word = records.select("entity_id", F.explode(tokens(F.col("n_core"))).alias("t")).join(known.withColumn("_k", F.lit(1)), "t", "left")
     oov = word.groupBy("entity_id").agg(F.avg(F.when(F.col("_k").isNull(), 1.0).otherwise(0.0)).alias("oov_share"))
     name, addr = F.coalesce("name", F.lit("")), F.coalesce("address", F.lit(""))
-    upper = lambda s: ((s == F.upper(s)) & (s != "")).cast("int")
+    upper = lambda s: (s == F.upper(s)).cast("int")
     return records.join(oov, "entity_id", "left").select(
-        "entity_id", F.coalesce("oov_share", F.lit(1.0)).alias("oov_share"), F.size(tokens(F.col("n_core"))).alias("name_tokens"), F.char_length(name).alias("name_len"), F.char_length(addr).alias("addr_len"),
+        "entity_id", F.coalesce("oov_share", F.lit(1.0)).alias("oov_share"), F.size(F.split("n_core", " ")).alias("name_tokens"), F.char_length(name).alias("name_len"), F.char_length(addr).alias("addr_len"),
         F.regexp_count(addr, F.lit(",")).alias("addr_commas"), (F.col("n_legal") != "").cast("int").alias("has_legal"), (F.col("a_house") != "").cast("int").alias("has_house"), upper(name).alias("name_upper"), upper(addr).alias("addr_upper"),
         name.rlike("[0-9]").cast("int").alias("name_digit"), F.regexp_count(name, F.lit(r"[&+\-.()\[\]/]")).alias("name_punct"), F.col("n_native").alias("native"), F.col("n_alias").alias("alias"), F.col("n_web").alias("web"), F.col("a_null").alias("addr_null"), F.col("entity_id").startswith("S2").cast("int").alias("is_s2"),
     )

@@ -18,17 +18,42 @@ from ..functions.text import tokens
 from ..sources.storage import materialize
 from .collective import logit
 
+
+#: As a list of countries: all of them.
+EVERYWHERE = ("*",)
+
+
+def _within(country: Column, names: Sequence[str]) -> Column:
+    return F.lit(True) if "*" in names else country.isin(list(names))
+
+
+@dataclass(frozen=True)
+class JudgeRules:
+    """Rules on a second score q, in some countries: p and q of at least ``accept`` raise p to 0.99; p below the first and q
+    of at most the second number of ``reject`` make it 0, which goes first."""
+
+    accept: tuple[float, float]
+    reject: tuple[float, float]
+    countries: tuple[str, ...] = EVERYWHERE
+
+
 @dataclass(frozen=True)
 class Config:
-    """Settings of :func:`decide`; rules that are null or empty are off."""
+    """Settings of :func:`decide`; rules that are null or empty are off, ``EVERYWHERE`` stands for all countries.
+
+    The first swap veto looks at what the plain threshold accepts, or, without ``veto_at_base_threshold``, at the countries'
+    own thresholds.
+    """
 
     threshold: float = 0.75
     by_country: Mapping[str, float] = field(default_factory=dict)
     by_bucket: Mapping[tuple[str, str], float] = field(default_factory=dict)
     swap_veto: tuple[str, ...] = ()
-    swap_veto_final: bool = False
+    veto_at_base_threshold: bool = True
+    judge: JudgeRules | None = None
     add_drop_noise: tuple[str, ...] = ()
     add_acronym: tuple[str, ...] = ()
+    swap_veto_final: tuple[str, ...] = ()
     empty_rescue: float | None = None
 
 
@@ -189,12 +214,17 @@ def acronym_pairs(rejected: DataFrame) -> DataFrame:
     return rejected.where((F.col("null2") == 0) & (F.col("ad") >= 70) & ~_other_house() & (F.char_length(short) >= 2) & (F.size(words) >= 2) & fits).select("s1", "mid")
 
 
-def two_score_rules(scored: DataFrame, judged: DataFrame, accept: tuple[float, float], reject: tuple[float, float]) -> DataFrame:
-    """Rectangles of two scores: p and ``q`` of at least ``accept`` raise p to 0.99; both below ``reject`` make it 0."""
-    df = scored.join(judged.select("s1", "mid", "q"), ["s1", "mid"], "left")
-    yes = (F.col("p") >= accept[0]) & (F.col("q") >= accept[1])
-    no = (F.col("p") < reject[0]) & (F.col("q") < reject[1])
-    return df.withColumn("p", F.when(yes, F.greatest("p", F.lit(0.99))).when(no, F.lit(0.0)).otherwise(F.col("p"))).drop("q")
+def two_score_rules(scored: DataFrame, judged: DataFrame, rules: JudgeRules) -> DataFrame:
+    """p after the rules on judged pairs (s1, mid, q); pairs without q and those of other countries keep theirs.
+
+    A pair judged more than once counts with its largest q.
+    """
+    q = judged.groupBy("s1", "mid").agg(F.max("q").alias("_q"))
+    df = scored.join(q, ["s1", "mid"], "left")
+    inside = F.col("_q").isNotNull() if "*" in rules.countries else F.col("_q").isNotNull() & _within(F.col("country"), rules.countries)
+    no = inside & (F.col("p") < rules.reject[0]) & (F.col("_q") <= rules.reject[1])
+    yes = inside & (F.col("p") >= rules.accept[0]) & (F.col("_q") >= rules.accept[1])
+    return df.withColumn("p", F.when(no, F.lit(0.0)).when(yes, F.greatest("p", F.lit(0.99))).otherwise(F.col("p"))).drop("_q")
 
 
 def empty_rescue(scored: DataFrame, decided: DataFrame, least: float) -> DataFrame:
@@ -204,23 +234,32 @@ def empty_rescue(scored: DataFrame, decided: DataFrame, least: float) -> DataFra
     return first.withColumn("_r", F.row_number().over(W.partitionBy("s1").orderBy(F.desc("p"), "mid"))).where("_r = 1").drop("_r")
 
 
-def decide(scored: DataFrame, s1: DataFrame, pool: DataFrame, config: Config, noise: DataFrame | None = None, real: DataFrame | None = None, rounds: int = 3) -> DataFrame:
-    """(s1, mid, p): all rules in order: swap veto, additions, final veto rounds, assignment, rescue. ``scored`` has country."""
-    countries = lambda df, names: df.where(F.col("ctry").isin(list(names)))
+def decide(
+    scored: DataFrame, s1: DataFrame, pool: DataFrame, config: Config, noise: DataFrame | None = None,
+    real: DataFrame | None = None, judged: DataFrame | None = None, rounds: int = 3,
+) -> DataFrame:
+    """(s1, mid, p): all rules in order: swap veto, judge, additions, final veto rounds, assignment, rescue.
+
+    ``scored`` (s1, mid, p, country) may be stored scores of any earlier run: deciding again needs nothing else.
+    """
+    countries = lambda df, names: df.where(_within(F.col("ctry"), names))
     take = lambda df: assign_bucketed(df, config.threshold, config.by_country, config.by_bucket)
+    swaps = lambda accepted, names: swap_pairs(countries(attach_texts(accepted.select("s1", "mid"), s1, pool), names), noise, real)
     if config.swap_veto:
-        base = assign(scored, config.threshold)
-        scored = veto(scored, swap_pairs(countries(attach_texts(base.select("s1", "mid"), s1, pool), config.swap_veto), noise, real))
+        by = {} if config.veto_at_base_threshold else config.by_country
+        scored = veto(scored, swaps(assign(scored, config.threshold, by), config.swap_veto))
+    if config.judge and judged is not None:
+        scored = two_score_rules(scored, judged, config.judge)
     for names, rule in ((config.add_drop_noise, drop_noise_pairs), (config.add_acronym, acronym_pairs)):
         if names:
             rejected = rejected_best(scored, take(scored)).select("s1", "mid")
-            scored = raise_to(scored, rule(countries(attach_texts(rejected, s1, pool), names)))
+            scored = materialize(raise_to(scored, rule(countries(attach_texts(rejected, s1, pool), names))), "raised")
     if config.swap_veto_final:
         for _ in range(rounds):
-            bad = swap_pairs(countries(attach_texts(take(scored).select("s1", "mid"), s1, pool), config.swap_veto), noise, real)
-            scored = materialize(veto(scored, bad), "veto")
+            bad = materialize(swaps(take(scored), config.swap_veto_final), "swaps")
             if bad.isEmpty():
                 break
+            scored = materialize(veto(scored, bad), "veto")
     decided = take(scored).select("s1", "mid", "p")
     if config.empty_rescue is not None:
         decided = decided.unionByName(empty_rescue(scored, decided, config.empty_rescue).select("s1", "mid", "p"))

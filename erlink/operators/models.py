@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .collective import logit
-from .evaluate import md5_unit
+from .evaluate import auc_log_loss, md5_unit
 
 
 def presample(pairs: DataFrame, top: int = 15, rate: float = 0.25, seed: int = 7) -> DataFrame:
@@ -71,6 +71,37 @@ def score_bag(models: Sequence[PipelineModel], df: DataFrame, features: Sequence
     return df.withColumn(name, sum(F.col(f"_p{i}") for i in range(len(models))) / len(models)).drop(*[f"_p{i}" for i in range(len(models))])
 
 
+def save_bag(models: Sequence[PipelineModel], path: str) -> None:
+    """One folder a model, in storage that a later session can read."""
+    for i, m in enumerate(models):
+        m.save(f"{path.rstrip('/')}/{i}")
+
+
+def load_bag(path: str, n: int) -> list[PipelineModel]:
+    return [PipelineModel.load(f"{path.rstrip('/')}/{i}") for i in range(n)]
+
+
+#: What a record alone tells about itself (see collective.record_features).
+RECORD_FEATURES = (
+    "oov_share", "name_tokens", "name_len", "addr_len", "addr_commas", "has_legal", "has_house", "name_upper", "addr_upper",
+    "name_digit", "name_punct", "native", "alias", "web", "addr_null", "is_s2",
+)
+
+
+def record_prior(records: DataFrame, truth: DataFrame, regions: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
+    """(mid, rp) for every record, how likely it is that any entity owns it, and one row (n, auc, log_loss) of the records outside.
+
+    ``records`` has RECORD_FEATURES, entity_id, country and region. Only those of ``regions`` (country, region) train the model.
+    """
+    owned = truth.select(F.col("mid").alias("entity_id")).distinct().withColumn("_t", F.lit(1))
+    rows = records.join(owned, "entity_id", "left").withColumn("y", F.coalesce("_t", F.lit(0))).drop("_t").withColumn("s1", F.col("entity_id"))
+    inside = regions.select("country", "region").distinct()
+    model = fit_gbt(rows.join(inside, ["country", "region"], "left_semi"), RECORD_FEATURES, **options)
+    scored = score_gbt(model, rows, RECORD_FEATURES, "rp")
+    held = auc_log_loss(scored.join(inside, ["country", "region"], "left_anti").withColumnRenamed("rp", "p"))
+    return scored.select(F.col("entity_id").alias("mid"), "rp"), held
+
+
 def region_folds(entities: DataFrame, folds: int) -> DataFrame:
     """(country, region, fold): whole regions, the largest first, each to the emptiest fold. One row a region is dealt."""
     blocks = entities.groupBy("country", "region").agg(F.count("*").alias("n"))

@@ -19,26 +19,20 @@ def attach(pairs: DataFrame, s1: DataFrame, pool: DataFrame, columns: tuple[str,
     return pairs.join(side(s1, "s1", "_s"), "s1").join(side(pool, "mid", "_c"), "mid")
 
 
+#: Similarity -> its kernel and the fields it compares.
+FUZZY = {
+    "nm_ratio": ("ratio", "n_core"), "nm_tset": ("token_set", "n_core"), "nm_tsort": ("token_sort", "n_core"), "nm_partial": ("partial", "n_core"),
+    "nm_jw": ("jaro_winkler", "n_compact"), "nm_cpartial": ("partial", "n_compact"), "nm_canon_ratio": ("ratio", "n_canon"),
+    "ad_ratio": ("ratio", "a_tokens"), "ad_tset": ("token_set", "a_tokens"), "ad_partial": ("partial", "a_tokens"), "ad_tsort": ("token_sort", "a_tokens"),
+}
+
+
 def fuzzy(df: DataFrame) -> DataFrame:
-    """Adds the string similarities of names and addresses (0 to 100; nm_jw and nm_lev 0 to 1)."""
+    """Adds the string similarities of names and addresses (0 to 100; nm_jw and nm_lev 0 to 1), all from one Arrow pass."""
     both = lambda c: (F.coalesce(f"{c}_s", F.lit("")), F.coalesce(f"{c}_c", F.lit("")))
-    core, compact, canon, addr = map(both, ("n_core", "n_compact", "n_canon", "a_tokens"))
-    return df.withColumns(
-        {
-            "nm_ratio": K.ratio_udf(*core),
-            "nm_tset": K.token_set_udf(*core),
-            "nm_tsort": K.token_sort_udf(*core),
-            "nm_partial": K.partial_udf(*core),
-            "nm_jw": K.jaro_winkler_udf(*compact),
-            "nm_lev": K.lev_sim(*compact),
-            "nm_cpartial": K.partial_udf(*compact),
-            "nm_canon_ratio": K.ratio_udf(*canon),
-            "ad_ratio": K.ratio_udf(*addr),
-            "ad_tset": K.token_set_udf(*addr),
-            "ad_partial": K.partial_udf(*addr),
-            "ad_tsort": K.token_sort_udf(*addr),
-        }
-    )
+    fields = {c: both(c) for c in ("n_core", "n_compact", "n_canon", "a_tokens")}
+    df = df.withColumn("nm_lev", K.lev_sim(*fields["n_compact"])).withColumn("_f", K.similarities(FUZZY, fields))
+    return df.select("*", *[F.col(f"_f.{c}").alias(c) for c in FUZZY]).drop("_f")
 
 
 def token_overlap(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -59,11 +53,11 @@ def flags(df: DataFrame) -> DataFrame:
     s, c = (lambda x: F.col(f"{x}_s")), (lambda x: F.col(f"{x}_c"))
     return df.withColumns(
         {
-            "nm_compact_eq": _flag((s("n_compact") == c("n_compact")) & (s("n_compact") != "")),
+            "nm_compact_eq": _flag(s("n_compact") == c("n_compact")),
             "nm_canon_eq": _flag(s("n_canon") == c("n_canon")),
             "legal_eq": _flag(s("n_legal") == c("n_legal")),
             "legal_both": _flag((s("n_legal") != "") & (c("n_legal") != "")),
-            "region_eq": _flag((s("region") == c("region")) & (s("region") != "")),
+            "region_eq": _flag(s("region") == c("region")),
             "nm_s_sub_c": _flag(c("n_compact").contains(s("n_compact"))),
             "nm_c_sub_s": _flag(s("n_compact").contains(c("n_compact"))),
             "c_native": c("n_native"),
@@ -80,7 +74,10 @@ def flags(df: DataFrame) -> DataFrame:
 
 
 def house(df: DataFrame) -> DataFrame:
-    """Adds how the two house numbers relate, their gap as ln(1 + |difference|) (-1 if one is missing), and whether each is among the other side's numbers."""
+    """Adds how the two house numbers relate, their gap as ln(1 + |difference|) (-1 if one is missing), and whether each is among the other side's numbers.
+
+    A missing number is among no numbers at all, as an empty string is the only part of an empty one.
+    """
     h1, h2 = F.coalesce("a_house_s", F.lit("")), F.coalesce("a_house_c", F.lit(""))
     both = (h1 != "") & (h2 != "")
     digits = lambda h: F.array_join(F.array_sort(F.split(h, "")), "")
@@ -91,27 +88,28 @@ def house(df: DataFrame) -> DataFrame:
             "house_both": _flag(both),
             "house_eq": _flag(both & (h1 == h2)),
             "house_len_eq": _flag(both & (F.char_length(h1) == F.char_length(h2))),
-            "house_perm": _flag(both & (h1 != h2) & (digits(h1) == digits(h2))),
+            "house_perm": _flag(both & (digits(h1) == digits(h2))),
             "house_sub": _flag(both & (h1.contains(h2) | h2.contains(h1))),
             "house_last_eq": _flag(both & (F.substring(h1, -1, 1) == F.substring(h2, -1, 1))),
             "house_gap": F.when(both, F.coalesce(gap, F.lit(-1.0))).otherwise(F.lit(-1.0)),
-            "house_c_in_snums": _flag((h2 != "") & F.array_contains(tokens(F.col("a_nums_s")), h2)),
-            "house_s_in_cnums": _flag((h1 != "") & F.array_contains(tokens(F.col("a_nums_c")), h1)),
+            "house_c_in_snums": _flag(F.array_contains(F.split(F.coalesce("a_nums_s", F.lit("")), " "), h2)),
+            "house_s_in_cnums": _flag(F.array_contains(F.split(F.coalesce("a_nums_c", F.lit("")), " "), h1)),
         }
     )
 
 
 def ambiguity(df: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
-    """Adds how many entities and pool rows share a compact name in the country (and region)."""
+    """Adds how many entities and pool rows share a compact name in the country (and region); empty names count in the pool as 0."""
 
     def count(side: DataFrame, keys: list[str], names: list[str], out: str, to: DataFrame) -> DataFrame:
         n = side.groupBy(*keys).agg(F.count("*").alias(out)).select(*[F.col(k).alias(v) for k, v in zip(keys, names, strict=True)], out)
         return to.join(n, names, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
+    named = pool.where("n_compact <> ''")
     df = count(s1, ["country", "n_compact"], ["country_s", "n_compact_s"], "s1_cnt", df)
     df = count(s1, ["country", "region", "n_compact"], ["country_s", "region_s", "n_compact_s"], "s1_cnt_region", df)
-    df = count(pool, ["country", "n_compact"], ["country_s", "n_compact_c"], "pool_cnt_c", df)
-    return count(pool, ["country", "n_compact"], ["country_s", "n_compact_s"], "pool_cnt_s", df)
+    df = count(named, ["country", "n_compact"], ["country_c", "n_compact_c"], "pool_cnt_c", df)
+    return count(named, ["country", "n_compact"], ["country_s", "n_compact_s"], "pool_cnt_s", df)
 
 
 def name_idf(s1: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +122,7 @@ def name_idf(s1: DataFrame) -> tuple[DataFrame, DataFrame]:
 def idf_containment(df: DataFrame, s1: DataFrame) -> DataFrame:
     """(s1, mid, nm_idf_s_in_c, nm_idf_c_in_s, nm_idf_total1, nm_extra_tok_idf, rare_tok_hit, rare_tok_sub, rare_tok_idf).
 
-    Words that no entity has weigh ln N. The rarest word is the entity's word of largest weight, ties to the larger word.
+    Words that no entity has weigh ln N. nm_extra_tok_idf is the largest weight of a word that only the record has. The rarest word is the entity's word of largest weight, ties to the larger word.
     """
     idf, most = name_idf(s1)
     a, b = F.array_distinct(tokens(F.col("n_core_s"))), F.array_distinct(tokens(F.col("n_core_c")))
@@ -139,7 +137,7 @@ def idf_containment(df: DataFrame, s1: DataFrame) -> DataFrame:
         (both / F.greatest(on(F.col("in_a")), small)).alias("nm_idf_s_in_c"),
         (both / F.greatest(on(F.col("in_b")), small)).alias("nm_idf_c_in_s"),
         on(F.col("in_a")).alias("nm_idf_total1"),
-        on(F.col("in_b") & ~F.col("in_a")).alias("nm_extra_tok_idf"),
+        F.coalesce(F.max(F.when(F.col("in_b") & ~F.col("in_a"), F.col("w"))), F.lit(0.0)).alias("nm_extra_tok_idf"),
         F.max_by(F.struct(F.col("in_b").cast("int").alias("hit"), F.col("_cc").contains(F.col("tok")).cast("int").alias("sub"), "w"), rank).alias("_r"),
     )
     return out.select("s1", "mid", "nm_idf_s_in_c", "nm_idf_c_in_s", "nm_idf_total1", "nm_extra_tok_idf", F.coalesce("_r.hit", F.lit(0)).alias("rare_tok_hit"), F.coalesce("_r.sub", F.lit(0)).alias("rare_tok_sub"), F.coalesce("_r.w", F.lit(0.0)).alias("rare_tok_idf"))
@@ -168,8 +166,8 @@ FEATURES = (
     "nm_idf_s_in_c", "nm_idf_c_in_s", "nm_idf_total1", "nm_extra_tok_idf", "rare_tok_hit", "rare_tok_sub", "rare_tok_idf", "pre_rank_s1", "name_cos_rank_s1",
     "addr_cos_rank_s1", "pre_gap_s1", "n_cand_s1", "pre_rank_mid", "pre_gap_mid", "n_s1_for_mid",
 )
-#: Features that are counts over the data set, which a model may be asked to leave out.
-COUNT_FEATURES = ("s1_cnt", "s1_cnt_region", "pool_cnt_c", "pool_cnt_s", "n_cand_s1", "n_s1_for_mid")
+#: Features whose scale follows the size of the data set, which a model may be asked to leave out.
+COUNT_FEATURES = ("s1_cnt", "s1_cnt_region", "pool_cnt_c", "pool_cnt_s", "rare_tok_idf", "nm_idf_total1", "nm_extra_tok_idf")
 
 
 def build(cands: DataFrame, s1: DataFrame, pool: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:

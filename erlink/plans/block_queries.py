@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import audit, exports, learn, models, pairs
+from ..functions import tables as T
+from ..operators import audit, exports, models, pairs
 from ..operators import blocking as B
 from ..sources.storage import materialize
 from .fixtures import Views
-from .registry import CANON, duck_sims, duck_tokens, prepared, query
+from .registry import CANON, duck_list, duck_sims, duck_tokens, prepared, query
 
 
 def sides(v: Views) -> tuple[DataFrame, DataFrame]:
@@ -30,13 +31,13 @@ _BLOCK = ("country", "region")
 
 @query(CANON + _ADDR + "\nSELECT side, entity_id, term, w FROM ad_w", longs="side", doubles="w")
 def tfidf_weights_word(v: Views) -> DataFrame:
-    a, b = prepared(v, "lk_ref").withColumn("side", F.lit(0)), prepared(v, "lk_pool").withColumn("side", F.lit(1))
+    a, b = (df.withColumn("side", F.lit(i)) for i, df in enumerate(sides(v)))
     return B.weights(a.unionByName(b), _BLOCK, ("side", "entity_id"), B.words("a_tokens")).select("side", "entity_id", "term", "w")
 
 
 @query(CANON + _NAME + "\nSELECT side, entity_id, term, w FROM nm_w", longs="side", doubles="w")
 def tfidf_weights_char3(v: Views) -> DataFrame:
-    a, b = prepared(v, "lk_ref").withColumn("side", F.lit(0)), prepared(v, "lk_pool").withColumn("side", F.lit(1))
+    a, b = (df.withColumn("side", F.lit(i)) for i, df in enumerate(sides(v)))
     return B.weights(a.unionByName(b), _BLOCK, ("side", "entity_id"), B.char_grams("n_compact")).select("side", "entity_id", "term", "w")
 
 
@@ -51,12 +52,12 @@ def knn_addr(v: Views) -> DataFrame:
 
 
 _COMB = duck_sims("country, region", "n_compact", "nm", least=0.0) + duck_sims("country, region", "a_tokens", "ad", least=0.0) + """,
-cb AS (SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.mid, b.mid) AS mid, (coalesce(a.cos, 0) + coalesce(b.cos, 0)) / 2 AS cos FROM nm a FULL JOIN ad b ON a.s1 = b.s1 AND a.mid = b.mid)"""
+cb AS (SELECT coalesce(a.s1, b.s1) AS s1, coalesce(a.mid, b.mid) AS mid, round((coalesce(a.raw, 0) + coalesce(b.raw, 0)) / 2, 6) AS cos FROM nm a FULL JOIN ad b ON a.s1 = b.s1 AND a.mid = b.mid)"""
 
 
-@query(CANON + _COMB + "\n" + _top("(SELECT * FROM cb WHERE cos >= 0.05)", 5, hit=16).replace("SELECT s1, mid, cos,", "SELECT s1, mid, 2 * cos AS twice,"), doubles="twice")
+@query(CANON + _COMB + "\n" + _top("(SELECT * FROM cb WHERE cos >= 0.05)", 5, hit=16), doubles="cos")
 def knn_combined(v: Views) -> DataFrame:
-    return B.combined_pass(*sides(v), 5).select("s1", "mid", (2 * F.col("cos")).alias("twice"), "hit")
+    return B.combined_pass(*sides(v), 5)
 
 
 @query(CANON + duck_sims("country", "n_compact", "fb", where_pool="region = ''") + "\n" + _top("fb", 5, hit=4))
@@ -81,7 +82,7 @@ def knn_leak_expansion(v: Views) -> DataFrame:
     return B.leak_pass(s1, pool, leaks, "n_compact", 5)
 
 
-_HELD = _NAME + ", ct AS (SELECT b.country, b.region, a.entity_id AS s1, b.entity_id AS mid, round(sum(b.w * b.w), 6) AS cos FROM nm_w a JOIN nm_w b USING (country, region, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL HAVING round(sum(b.w * b.w), 6) >= 0.4)"
+_HELD = _ADDR + ", ct AS (SELECT b.country, b.region, a.entity_id AS s1, b.entity_id AS mid, round(sum(b.w * b.w), 6) AS cos FROM ad_w a JOIN ad_w b USING (country, region, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL HAVING round(sum(b.w * b.w), 6) >= 0.4)"
 
 
 @query(CANON + _HELD + "\n" + _top("ct", 3, by="mid", tie="s1", hit=64))
@@ -102,20 +103,77 @@ def exact_key_join(v: Views) -> DataFrame:
     return B.exact_key_pass(*sides(v))
 
 
-_GEN_PARTS = (
-    _NAME + _ADDR + duck_sims("country", "n_compact", "fb", where_pool="region = ''")
-    + ",\nu AS (" + _top("nm", 5, hit=1).replace("cos,", "cos AS n, CAST(0 AS DOUBLE) AS a,") + " UNION ALL " + _top("ad", 5, hit=2).replace("cos,", "CAST(0 AS DOUBLE) AS n, cos AS a,") + " UNION ALL " + _top("fb", 5, hit=4).replace("cos,", "cos AS n, CAST(0 AS DOUBLE) AS a,")
-    + "),\ncand AS (SELECT s1, mid, max(n) AS name_cos, max(a) AS addr_cos, CAST(bit_or(hit) AS BIGINT) AS hit FROM u GROUP BY ALL)"
-)
+def _gen_kind(name: str, block: str, passes: list[tuple[str, int, str, str, int]], **sides_: str) -> str:
+    """CTEs of one search: sims ``{name}n`` and ``{name}a`` of all pairs that share a term, the passes' tops, and both cosines.
+
+    A pass is (score, k, key, tie, hit).
+    """
+    sql = duck_sims(block, "n_compact", f"{name}n", least=0.0, **sides_) + duck_sims(block, "a_tokens", f"{name}a", least=0.0, **sides_)
+    on = " AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in f"{block}, s1, mid".split(","))
+    keys = ", ".join(f"coalesce(a.{c.strip()}, b.{c.strip()}) AS {c.strip()}" for c in f"{block}, s1, mid".split(","))
+    sql += f""",
+{name}b AS (SELECT {keys}, coalesce(a.cos, 0) AS name, coalesce(b.cos, 0) AS address, round((coalesce(a.raw, 0) + coalesce(b.raw, 0)) / 2, 6) AS combined FROM {name}n a FULL JOIN {name}a b ON {on}),
+{name}h AS (SELECT {block}, a.entity_id AS s1, b.entity_id AS mid, round(sum(b.w * b.w), 6) AS held FROM {name}a_w a JOIN {name}a_w b USING ({block}, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL),
+{name}s AS (SELECT *, coalesce(x.held, 0) AS held_ FROM {name}b LEFT JOIN {name}h x USING ({block}, s1, mid))"""
+    tops = " UNION ALL ".join(
+        f"SELECT {block}, s1, mid, name, address, {hit} AS hit FROM (SELECT *, row_number() OVER (PARTITION BY {block}, {key} ORDER BY {score} DESC, {tie}) AS r FROM {name}s WHERE {score} >= {0.4 if score == 'held_' else 0.05}) WHERE r <= {k}"
+        for score, k, key, tie, hit in passes
+    )
+    return sql + f",\n{name}t AS ({tops})"
+
+
+def _union(*names: str, more: str = "") -> str:
+    tops = " UNION ALL ".join(f"SELECT s1, mid, name, address, hit FROM {n}t" for n in names)
+    return f",\nu AS ({tops}{more}),\ncand AS (SELECT s1, mid, max(name) AS name_cos, max(address) AS addr_cos, CAST(bit_or(hit) AS BIGINT) AS hit FROM u GROUP BY ALL)"
+
+
+def _gen(k_name: int, k_addr: int, k_fallback: int) -> str:
+    by_text = [("name", k_name, "s1", "mid", 1), ("address", k_addr, "s1", "mid", 2)]
+    return (
+        _gen_kind("kg", "country, region", by_text, where_s1="region <> ''", where_pool="region <> ''")
+        + _gen_kind("kf", "country", [("name", k_fallback, "s1", "mid", 4)], where_pool="region = ''")
+        + _gen_kind("kw", "country", by_text, where_s1="region = ''")
+        + _union("kg", "kf", "kw")
+    )
+
+
+_GEN_PARTS = _gen(25, 25, 20)
 
 
 def candidates(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, pool and their candidates, all stored."""
+    """Entities, pool and their candidates by the default passes, all stored."""
+    s1, pool = sides(v)
+    return s1, pool, materialize(B.generate(s1, pool), "candidates")
+
+
+#: Every pass, small numbers of neighbours so that the passes differ, and a part of the entities without a region.
+_ALL_TEXT = [("name", 3, "s1", "mid", 1), ("address", 3, "s1", "mid", 2), ("combined", 3, "s1", "mid", 16)]
+_EVERY_PASS = (
+    ", r0 AS (SELECT * REPLACE (CASE WHEN length(n_compact) % 7 = 0 THEN '' ELSE region END AS region) FROM s1p)"
+    ", ls AS (SELECT s.*, k.m_region FROM r0 s JOIN lk k USING (region)), lp AS (SELECT p.* EXCLUDE (region), k.region, k.m_region FROM poolp p JOIN lk k ON p.region = k.m_region)"
+    + _gen_kind("kg", "country, region", [*_ALL_TEXT, ("held_", 2, "mid", "s1", 64)], s1="r0", where_s1="region <> ''", where_pool="region <> ''")
+    + _gen_kind("kf", "country", [("name", 2, "s1", "mid", 4), ("name", 2, "mid", "s1", 68)], s1="r0", where_pool="region = ''")
+    + _gen_kind("kw", "country", _ALL_TEXT, s1="r0", where_s1="region = ''")
+    + _gen_kind("kl", "country, region, m_region", [(a, b, c, d, e | 32) for a, b, c, d, e in _ALL_TEXT], s1="ls", pool="lp")
+    + _EXACT
+    + """, ex AS (SELECT a.entity_id AS s1, b.entity_id AS mid, country, a.a_tokens AS x, b.a_tokens AS y FROM s1p a JOIN poolp b USING (country, n_compact) WHERE (a.country, a.n_compact) IN (SELECT (country, n_compact) FROM ep) AND (a.country, a.n_compact) IN (SELECT (country, n_compact) FROM es)),
+exd AS (SELECT country, s1, mid, 0 AS side, x AS t FROM ex UNION ALL SELECT country, s1, mid, 1, y FROM ex), exn AS (SELECT country, count(*) AS n FROM exd GROUP BY ALL),
+ext AS (SELECT country, s1, mid, side, term, count(*) AS tf FROM (SELECT * EXCLUDE (t), unnest(list_filter(string_split(t, ' '), lambda z: z <> '')) AS term FROM exd) GROUP BY ALL), exf AS (SELECT country, term, count(*) AS df FROM ext GROUP BY ALL),
+exx AS (SELECT country, s1, mid, side, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM ext JOIN exf USING (country, term) JOIN exn USING (country)), exw AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY s1, mid, side)) AS w FROM exx),
+exc AS (SELECT a.s1, a.mid, round(sum(a.w * b.w), 6) AS cos FROM exw a JOIN exw b USING (s1, mid, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)"""
+    + _union("kg", "kf", "kw", "kl", more=" UNION ALL SELECT ex.s1, ex.mid, 1.0, coalesce(cos, 0), 8 FROM ex LEFT JOIN exc USING (s1, mid)")
+)
+
+
+@query(CANON + ", lk AS (SELECT * FROM (VALUES ('Brand#1', 'Brand#2'), ('Brand#3', 'Brand#4')) AS t(region, m_region))" + _EVERY_PASS + "\nSELECT s1, mid, name_cos, addr_cos, hit FROM cand", doubles="name_cos addr_cos")
+def candidate_union_all(v: Views) -> DataFrame:
     s1, pool = sides(v)
-    return s1, pool, materialize(B.generate(s1, pool, 5, 5), "candidates")
+    lost = s1.withColumn("region", F.expr("IF(char_length(n_compact) % 7 = 0, '', region)"))
+    leaks = s1.select("country").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(a).alias("region"), F.lit(b).alias("m_region")) for a, b in (("Brand#1", "Brand#2"), ("Brand#3", "Brand#4"))]))).select("country", "p.*")
+    return B.generate(lost, pool, 3, 3, 2, 3, 2, 2, leaks, True)
 
 
-@query(CANON + _GEN_PARTS + "\nSELECT s1, mid, name_cos, addr_cos, hit FROM cand")
+@query(CANON + _GEN_PARTS + "\nSELECT s1, mid, name_cos, addr_cos, hit FROM cand", doubles="name_cos addr_cos")
 def candidate_union_bits(v: Views) -> DataFrame:
     return candidates(v)[2]
 
@@ -128,14 +186,13 @@ def blocking_recall(v: Views) -> DataFrame:
 
 @query(CANON + _NAME + ", k AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY cos DESC, mid) AS rk FROM nm), t AS (SELECT k.rk FROM (SELECT DISTINCT s1, mid FROM lk_truth) x LEFT JOIN k USING (s1, mid))\nSELECT n AS k, avg(CAST(coalesce(rk <= n, false) AS INTEGER)) AS recall FROM t, (SELECT unnest([1, 3, 5, 10]) AS n) GROUP BY n", longs="k", doubles="recall")
 def knn_recall_at_k(v: Views) -> DataFrame:
-    s1, pool = sides(v)
-    return B.recall_at(B.similarities(*B._sides(s1, pool, _BLOCK, B.char_grams("n_compact")), _BLOCK), v("lk_truth"), [1, 3, 5, 10])
+    return B.recall_at(B.text_pass(*sides(v), "n_compact", 10), v("lk_truth"), [1, 3, 5, 10])
 
 
-@query(CANON + _GEN_PARTS + ", m AS (SELECT DISTINCT s1, mid FROM lk_truth WHERE (s1, mid) NOT IN (SELECT (s1, mid) FROM cand))\nSELECT CASE WHEN a.region = '' OR b.region = '' THEN 'no region' WHEN a.region = b.region THEN 'same region' ELSE 'other region' END AS relation, count(*) AS n FROM m JOIN s1p a ON a.entity_id = s1 JOIN poolp b ON b.entity_id = mid GROUP BY 1")
+@query(CANON + _gen(1, 1, 1) + ", m AS (SELECT DISTINCT s1, mid FROM lk_truth WHERE (s1, mid) NOT IN (SELECT (s1, mid) FROM cand))\nSELECT CASE WHEN a.region = '' OR b.region = '' THEN 'no region' WHEN a.region = b.region THEN 'same region' ELSE 'other region' END AS relation, count(*) AS n FROM m JOIN s1p a ON a.entity_id = s1 JOIN poolp b ON b.entity_id = mid GROUP BY 1")
 def blocking_misses(v: Views) -> DataFrame:
-    s1, pool, cand = candidates(v)
-    return B.missed(v("lk_truth"), cand, s1, pool)
+    s1, pool = sides(v)
+    return B.missed(v("lk_truth"), B.generate(s1, pool, 1, 1, 1), s1, pool)
 
 
 @query("""SELECT label, s1, mid, cos FROM (SELECT a.label, a.vec_id AS s1, b.vec_id AS mid, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cos,
@@ -146,20 +203,16 @@ def knn_embeddings(v: Views) -> DataFrame:
 
 # Pair features.
 
-#: Pairs for feature queries: every pool record with every entity of its country, compact name alike in the first 4 letters.
-_PAIRS = ", fp AS (SELECT a.entity_id AS s1, b.entity_id AS mid FROM s1p a JOIN poolp b ON a.country = b.country AND a.region = b.region AND substr(a.n_compact, 1, 3) = substr(b.n_compact, 1, 3)), atx AS (SELECT fp.s1, fp.mid, " + ", ".join(f"a.{c} AS {c}_s, b.{c} AS {c}_c" for c in ("name", "address", "country", "region", "n_canon", "n_core", "n_compact", "n_legal", "n_native", "n_alias", "n_web", "n_upper", "a_tokens", "a_nums", "a_house", "a_null")) + " FROM fp JOIN s1p a ON a.entity_id = fp.s1 JOIN poolp b ON b.entity_id = fp.mid)"
-
-
-#: The same pairs as CTEs of an oracle.
+#: The candidates with the columns of both sides, as CTEs of an oracle.
+_SIDE = ("name", "address", "country", "region", "n_canon", "n_core", "n_compact", "n_legal", "n_native", "n_alias", "n_web", "n_upper", "a_tokens", "a_nums", "a_house", "a_null")
+_PAIRS = _GEN_PARTS + ", atx AS (SELECT s1, mid, " + ", ".join(f"a.{c} AS {c}_s, b.{c} AS {c}_c" for c in _SIDE) + " FROM cand JOIN s1p a ON a.entity_id = s1 JOIN poolp b ON b.entity_id = mid)"
 FEATURES_SQL = _PAIRS
 
 
 def feature_pairs(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, pool, and attached pairs of a block whose compact names start alike."""
-    s1, pool = sides(v)
-    k = lambda df, name: df.select(F.col("entity_id").alias(name), "country", "region", F.substring("n_compact", 1, 3).alias("_k"))
-    df = k(s1, "s1").join(k(pool, "mid"), ["country", "region", "_k"]).select("s1", "mid")
-    return s1, pool, pairs.attach(df, s1, pool, (*pairs.RECORD, "address"))
+    """Entities, pool, and all candidates with the columns of both sides."""
+    s1, pool, cand = candidates(v)
+    return s1, pool, pairs.attach(cand.select("s1", "mid"), s1, pool, (*pairs.RECORD, "address"))
 
 
 def _overlap(column: str, p: str) -> str:
@@ -180,7 +233,7 @@ def feat_token_sets(v: Views) -> DataFrame:
 
 
 _FLAGS = {
-    "nm_compact_eq": "n_compact_s = n_compact_c AND n_compact_s <> ''", "nm_canon_eq": "n_canon_s = n_canon_c", "legal_eq": "n_legal_s = n_legal_c", "legal_both": "n_legal_s <> '' AND n_legal_c <> ''", "region_eq": "region_s = region_c AND region_s <> ''",
+    "nm_compact_eq": "n_compact_s = n_compact_c", "nm_canon_eq": "n_canon_s = n_canon_c", "legal_eq": "n_legal_s = n_legal_c", "legal_both": "n_legal_s <> '' AND n_legal_c <> ''", "region_eq": "region_s = region_c",
     "c_is_s3": "starts_with(mid, 'S3')", "c_alias": "n_alias_c = 1", "c_web": "n_web_c = 1", "c_upper": "n_upper_c = 1", "c_addr_null": "a_null_c = 1",
 }
 
@@ -198,9 +251,9 @@ def feat_substring(v: Views) -> DataFrame:
 _B = "a_house_s <> '' AND a_house_c <> ''"
 _SORTED = "array_to_string(list_sort(string_split({0}, '')), '')"
 _HOUSE = {
-    "house_both": _B, "house_eq": f"{_B} AND a_house_s = a_house_c", "house_len_eq": f"{_B} AND length(a_house_s) = length(a_house_c)", "house_perm": f"{_B} AND a_house_s <> a_house_c AND {_SORTED.format('a_house_s')} = {_SORTED.format('a_house_c')}",
+    "house_both": _B, "house_eq": f"{_B} AND a_house_s = a_house_c", "house_len_eq": f"{_B} AND length(a_house_s) = length(a_house_c)", "house_perm": f"{_B} AND {_SORTED.format('a_house_s')} = {_SORTED.format('a_house_c')}",
     "house_sub": f"{_B} AND (contains(a_house_s, a_house_c) OR contains(a_house_c, a_house_s))", "house_last_eq": f"{_B} AND right(a_house_s, 1) = right(a_house_c, 1)",
-    "house_c_in_snums": f"a_house_c <> '' AND list_contains({duck_tokens('a_nums_s')}, a_house_c)", "house_s_in_cnums": f"a_house_s <> '' AND list_contains({duck_tokens('a_nums_c')}, a_house_s)",
+    "house_c_in_snums": "list_contains(string_split(a_nums_s, ' '), a_house_c)", "house_s_in_cnums": "list_contains(string_split(a_nums_c, ' '), a_house_s)",
 }
 
 
@@ -219,9 +272,9 @@ def feat_fuzzy_ratios(v: Views) -> DataFrame:
     return pairs.fuzzy(feature_pairs(v)[2]).select("s1", "mid", "nm_ratio", "nm_tset", "nm_tsort", "nm_partial", "nm_jw", "nm_cpartial", "nm_canon_ratio", "ad_ratio", "ad_tset", "ad_partial", "ad_tsort")
 
 
-@query(CANON + _PAIRS + """, k1 AS (SELECT country, n_compact, count(*) AS n FROM s1p GROUP BY ALL), k2 AS (SELECT country, region, n_compact, count(*) AS n FROM s1p GROUP BY ALL), k3 AS (SELECT country, n_compact, count(*) AS n FROM poolp GROUP BY ALL)
+@query(CANON + _PAIRS + """, k1 AS (SELECT country, n_compact, count(*) AS n FROM s1p GROUP BY ALL), k2 AS (SELECT country, region, n_compact, count(*) AS n FROM s1p GROUP BY ALL), k3 AS (SELECT country, n_compact, count(*) AS n FROM poolp WHERE n_compact <> '' GROUP BY ALL)
 SELECT s1, mid, coalesce(k1.n, 0) AS s1_cnt, coalesce(k2.n, 0) AS s1_cnt_region, coalesce(k3.n, 0) AS pool_cnt_c, coalesce(k4.n, 0) AS pool_cnt_s FROM atx LEFT JOIN k1 ON k1.country = country_s AND k1.n_compact = n_compact_s LEFT JOIN k2 ON k2.country = country_s AND k2.region = region_s AND k2.n_compact = n_compact_s
-LEFT JOIN k3 ON k3.country = country_s AND k3.n_compact = n_compact_c LEFT JOIN k3 k4 ON k4.country = country_s AND k4.n_compact = n_compact_s""")
+LEFT JOIN k3 ON k3.country = country_c AND k3.n_compact = n_compact_c LEFT JOIN k3 k4 ON k4.country = country_s AND k4.n_compact = n_compact_s""")
 def feat_ambiguity(v: Views) -> DataFrame:
     s1, pool, df = feature_pairs(v)
     return pairs.ambiguity(df, s1, pool).select("s1", "mid", "s1_cnt", "s1_cnt_region", "pool_cnt_c", "pool_cnt_s")
@@ -235,7 +288,7 @@ wt AS (SELECT s1, mid, cc, lg.tok, list_contains(a, lg.tok) AS in_a, list_contai
 
 @query(CANON + _PAIRS + _IDF + """
 SELECT s1, mid, coalesce(sum(w) FILTER (WHERE in_a AND in_b), 0) / greatest(coalesce(sum(w) FILTER (WHERE in_a), 0), 1e-6) AS nm_idf_s_in_c, coalesce(sum(w) FILTER (WHERE in_a AND in_b), 0) / greatest(coalesce(sum(w) FILTER (WHERE in_b), 0), 1e-6) AS nm_idf_c_in_s,
-  coalesce(sum(w) FILTER (WHERE in_a), 0) AS nm_idf_total1, coalesce(sum(w) FILTER (WHERE in_b AND NOT in_a), 0) AS nm_extra_tok_idf FROM wt GROUP BY s1, mid""", doubles="nm_idf_s_in_c nm_idf_c_in_s nm_idf_total1 nm_extra_tok_idf")
+  coalesce(sum(w) FILTER (WHERE in_a), 0) AS nm_idf_total1, coalesce(max(w) FILTER (WHERE in_b AND NOT in_a), 0) AS nm_extra_tok_idf FROM wt GROUP BY s1, mid""", doubles="nm_idf_s_in_c nm_idf_c_in_s nm_idf_total1 nm_extra_tok_idf")
 def feat_idf_containment(v: Views) -> DataFrame:
     s1, _, df = feature_pairs(v)
     return pairs.idf_containment(df, s1).select("s1", "mid", "nm_idf_s_in_c", "nm_idf_c_in_s", "nm_idf_total1", "nm_extra_tok_idf")
@@ -261,12 +314,18 @@ def ctx_competition(v: Views) -> DataFrame:
 # Looks at linkage without a model.
 
 
-_REL = "len(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+def duck_lev(a: str, b: str) -> str:
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
+
 _S, _R = f"list_distinct({duck_tokens('n_core_s')})", f"list_distinct({duck_tokens('n_core_c')})"
-_ADD, _REM, _BOTH = _REL.format(a=_R, b=_S), _REL.format(a=_S, b=_R), f"len(list_intersect({_S}, {_R}))"
-_AD = "100 * (CASE WHEN greatest(length(a_tokens_s), length(a_tokens_c)) = 0 THEN 1 ELSE 1 - levenshtein(a_tokens_s, a_tokens_c) / greatest(length(a_tokens_s), length(a_tokens_c)) END)"
-_CELLS = _PAIRS + f""", cl AS (SELECT atx.s1, atx.mid, CASE WHEN a_null_c = 1 THEN 'no_addr' WHEN {_B} AND a_house_s = a_house_c AND {_AD} >= 90 THEN 'exact' WHEN {_B} AND a_house_s <> a_house_c AND {_AD} >= 80 THEN 'other_house' WHEN {_AD} >= 70 THEN 'close' ELSE 'far' END AS address,
-  CASE WHEN {_ADD} = 0 AND {_REM} = 0 THEN 'same' WHEN {_BOTH} = 0 THEN 'different' WHEN {_ADD} = 0 THEN 'dropped' WHEN {_REM} = 0 THEN 'added' ELSE 'swapped' END AS name FROM atx),
+_NOISE = duck_list(T.NOISE_WORDS)
+_AD = f"100 * {duck_lev('a_tokens_s', 'a_tokens_c')}"
+_CELLS = _PAIRS + f""", rl AS (SELECT *, {_S} AS s_, {_R} AS r_ FROM atx), rm AS (SELECT *, list_filter(r_, lambda x: NOT list_contains(s_, x)) AS new_, list_filter(s_, lambda x: NOT list_contains(r_, x)) AS rem FROM rl),
+ro AS (SELECT *, list_filter(new_, lambda x: NOT list_contains({_NOISE}, x)) AS other FROM rm),
+cl AS (SELECT s1, mid, CASE WHEN a_null_c = 1 THEN 'no_addr' WHEN {_B} AND a_house_s = a_house_c AND {_AD} >= 90 THEN 'exact' WHEN {_B} AND a_house_s <> a_house_c AND {_AD} >= 80 THEN 'other_house' WHEN {_AD} >= 70 THEN 'close' ELSE 'far' END AS address,
+  CASE WHEN len(r_) = 0 THEN 'empty' WHEN len(new_) = 0 AND len(rem) = 0 THEN 'same' WHEN len(new_) = 0 THEN 'drop' WHEN len(other) = 0 THEN 'drop_noise' WHEN len(list_intersect(s_, r_)) = 0 THEN 'no_shared'
+    WHEN len(list_filter(other, lambda w: len(list_filter(rem, lambda x: {duck_lev('w', 'x')} >= 0.75)) = 0)) = 0 THEN 'typo' ELSE 'added' END AS name FROM ro),
 cells AS (SELECT address, name, count(*) AS n, count(t.s1) AS "true", 1000 * count(*) / (SELECT count(DISTINCT s1) FROM cl) AS per_1k FROM cl LEFT JOIN (SELECT DISTINCT s1, mid FROM lk_truth) t USING (s1, mid) GROUP BY address, name)"""
 
 
@@ -279,27 +338,28 @@ def _texts(v: Views) -> DataFrame:
 
 @query(CANON + _CELLS + '\nSELECT address, name, n, "true" AS trues, per_1k FROM cells', doubles="per_1k")
 def pattern_cells(v: Views) -> DataFrame:
-    return audit.pattern_cells(_texts(v), v("lk_truth")).withColumnRenamed("true", "trues")
+    return audit.pattern_cells(_texts(v), v("lk_truth"), "levenshtein").withColumnRenamed("true", "trues")
 
 
-@query(CANON + _CELLS + "\nSELECT address, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE name = '{k}'), 0) AS {k}" for k in ("same", "dropped", "added", "swapped", "different")) + " FROM cells GROUP BY address", longs="same dropped added swapped different")
+@query(CANON + _CELLS + "\nSELECT address, " + ", ".join(f"coalesce(sum(n) FILTER (WHERE name = '{k}'), 0) AS {k}" for k in audit.NAME_RELATIONS) + " FROM cells GROUP BY address", longs=" ".join(audit.NAME_RELATIONS))
 def pattern_pivot(v: Views) -> DataFrame:
-    return audit.pattern_pivot(audit.pattern_cells(_texts(v), v("lk_truth")))
+    return audit.pattern_pivot(audit.pattern_cells(_texts(v), v("lk_truth"), "levenshtein"))
 
 
-@query(CANON + _PAIRS + f""", hm AS (SELECT entity_id AS e, country, a_tokens, a_house, n_core FROM s1p WHERE a_null = 0)
-SELECT atx.s1, atx.mid, count(*) AS at_address, count(*) FILTER (WHERE len(list_filter({duck_tokens('n_core_c')}, lambda x: NOT list_contains({duck_tokens('h.n_core')}, x))) = 0) AS compatible FROM atx JOIN hm o ON o.e = atx.s1 JOIN hm h USING (country, a_tokens, a_house) GROUP BY atx.s1, atx.mid""")
+@query(CANON + _PAIRS + f""", hk AS (SELECT country, a_tokens, a_house, count(*) AS k FROM s1p GROUP BY ALL HAVING count(*) >= 2),
+hb AS (SELECT s1, mid, k, len(list_intersect(r, list_distinct({duck_tokens('h.n_core')}))) AS both_, len(r) AS n FROM (SELECT s1, mid, list_filter({_R}, lambda x: NOT list_contains({_NOISE}, x)) AS r FROM atx) JOIN s1p o ON o.entity_id = s1 JOIN hk USING (country, a_tokens, a_house) JOIN s1p h USING (country, a_tokens, a_house))
+SELECT s1, mid, any_value(k) AS at_address, CASE WHEN max(both_) = 0 THEN any_value(k) ELSE count(*) FILTER (WHERE both_ = n OR both_ >= greatest(1, n - 1)) END AS compatible FROM hb GROUP BY s1, mid""")
 def hub_ambiguity(v: Views) -> DataFrame:
     s1, _, df = feature_pairs(v)
     return audit.hub_ambiguity(df.select("s1", "mid", F.col("n_core_c").alias("c2")), s1)
 
 
-@query(CANON + _PAIRS + """, nc AS (SELECT atx.s1, atx.mid, h.entity_id AS e, 100 * (CASE WHEN greatest(length(h.a_tokens), length(a_tokens_c)) = 0 THEN 1 ELSE 1 - levenshtein(h.a_tokens, a_tokens_c) / greatest(length(h.a_tokens), length(a_tokens_c)) END) AS x FROM atx JOIN s1p o ON o.entity_id = atx.s1 JOIN s1p h ON h.country = o.country AND h.n_compact = o.n_compact WHERE CAST(substr(atx.s1, 4) AS BIGINT) % 8 = 1)
-SELECT s1, mid, count(*) AS members, max(x) FILTER (WHERE e = s1) AS own, coalesce(max(x) FILTER (WHERE e <> s1), -1) AS best_other FROM nc GROUP BY s1, mid""", doubles="own best_other")
+@query(CANON + _PAIRS + f""", ck AS (SELECT country, n_compact, count(*) AS k FROM s1p GROUP BY ALL HAVING count(*) BETWEEN 2 AND 300), cm AS (SELECT s1p.*, k FROM s1p JOIN ck USING (country, n_compact) WHERE a_null = 0),
+nc AS (SELECT atx.s1, atx.mid, h.k, h.entity_id AS e, 100 * {duck_lev('h.a_tokens', 'a_tokens_c')} + CASE WHEN h.a_house = a_house_c AND a_house_c <> '' THEN 5 ELSE 0 END AS x FROM atx JOIN cm o ON o.entity_id = atx.s1 JOIN cm h ON h.country = o.country AND h.n_compact = o.n_compact WHERE a_null_c = 0)
+SELECT s1, mid, max(k) AS members, max(x) FILTER (WHERE e = s1) AS own, max(x) FILTER (WHERE e <> s1) AS best_other, max(x) FILTER (WHERE e <> s1) - max(x) FILTER (WHERE e = s1) AS gap FROM nc GROUP BY s1, mid HAVING count(*) FILTER (WHERE e <> s1) > 0""", doubles="own best_other gap")
 def name_class(v: Views) -> DataFrame:
     s1, _, df = feature_pairs(v)
-    some = df.where("CAST(substr(s1, 4) AS BIGINT) % 8 = 1").select("s1", "mid", F.col("a_tokens_c").alias("a2"))
-    return audit.name_class(some, s1, "levenshtein")
+    return audit.name_class(df.select("s1", "mid", F.col("a_tokens_c").alias("a2"), F.col("a_house_c").alias("h2"), F.col("a_null_c").alias("null2")), s1, "levenshtein")
 
 
 @query(CANON + _GEN_PARTS + """, one AS (SELECT country, n_compact, a_tokens, a_house, min(entity_id) AS s1 FROM s1p WHERE a_null = 0 GROUP BY ALL HAVING count(*) = 1), cp AS (SELECT p.entity_id AS mid, s1 FROM poolp p JOIN one USING (country, n_compact, a_tokens, a_house) WHERE a_null = 0)
@@ -337,9 +397,10 @@ def noise_catalogue(v: Views) -> DataFrame:
 
 @query(None)
 def typo_swaps(v: Views) -> DataFrame:
-    s1, pool = sides(v)
-    words = pool.select(F.explode(F.split("n_core", " ")).alias("w"))
-    return audit.typo_swaps(words, learn.vocabulary(s1, pool).where("df1 > 0").select("t"))
+    from ..operators.decide import attach_texts
+
+    s1, swaps = sides(v)[0], materialize(prepared(v, "lk_swaps"), "swaps")
+    return audit.typo_swaps(attach_texts(v("lk_swap_pairs"), s1, swaps), s1, 5)
 
 
 @query(None)

@@ -13,7 +13,7 @@ from ..sources import io
 from ..sources.storage import materialize
 from .block_queries import FEATURES_SQL, candidates, feature_pairs, sides
 from .fixtures import Views
-from .registry import CANON, duck_list, duck_tokens, query
+from .registry import CANON, duck_canon, duck_list, duck_tokens, prepared, query
 
 _WIN = ", win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) AS r FROM cs_pairs) WHERE r = 1)"
 _DEC = _WIN + ", dec AS (SELECT s1, mid, country, region, p FROM win WHERE p >= 0.75)"
@@ -22,6 +22,9 @@ cnt AS (SELECT e.s1, e.country, e.region, coalesce(t, 0) AS t, coalesce(n, 0) AS
 _F = "CASE WHEN t = 0 THEN CAST(n = 0 AS INTEGER) ELSE 1.25 * tp / (0.25 * t + n) END"
 
 
+_LEV = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
+
 def scored(v: Views) -> DataFrame:
     return v("cs_pairs")
 
@@ -33,16 +36,19 @@ def decided(v: Views) -> DataFrame:
 # Collective features.
 
 
-@query("""
+_GROUPED = """
 , g0 AS (SELECT s1, mid, p, CAST(p >= 0.75 AS INTEGER) AS c, CAST(starts_with(mid, 'S3') AS INTEGER) AS s3 FROM cs_pairs WHERE p >= 0.02),
 g1 AS (SELECT s1, mid, p, sum(c) OVER s - c AS g_conf, sum(c * s3) OVER s - c * s3 AS g_conf_s3, sum(c * (1 - s3)) OVER s - c * (1 - s3) AS g_conf_s2, sum(p) OVER s - p AS g_sum_p, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, mid) AS g_rank_s1, count(*) OVER s AS g_n_cand,
-  row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) AS g_rank_mid, count(*) OVER m AS g_n_claim, max(p) OVER m AS g_max_mid, coalesce(nth_value(p, 2) OVER (PARTITION BY mid ORDER BY p DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS sec FROM g0 WINDOW s AS (PARTITION BY s1), m AS (PARTITION BY mid))
+  row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) AS g_rank_mid, count(*) OVER m AS g_n_claim, max(p) OVER m AS g_max_mid, coalesce(nth_value(p, 2) OVER (PARTITION BY mid ORDER BY p DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS sec FROM g0 WINDOW s AS (PARTITION BY s1), m AS (PARTITION BY mid))"""
+
+
+@query(_GROUPED + """
 SELECT * EXCLUDE (sec), CASE WHEN g_rank_mid = 1 THEN sec ELSE g_max_mid END AS g_rival, p - CASE WHEN g_rank_mid = 1 THEN sec ELSE g_max_mid END AS g_margin FROM g1""", longs="g_conf g_conf_s3 g_conf_s2", doubles="g_sum_p g_margin")
 def s2_group_features(v: Views) -> DataFrame:
     return collective.group_features(scored(v)).drop("country", "region")
 
 
-_LEV = "(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1 ELSE 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
 _SCORES = ", sc AS (SELECT s1, mid, round(CASE WHEN a_house_s = a_house_c AND a_house_s <> '' THEN 0.9 ELSE 0.5 END - length(n_compact_c) % 5 * 0.05, 4) AS p FROM atx)"
 
 
@@ -56,7 +62,7 @@ def lk_scored(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(CANON + FEATURES_SQL + _SCORES + f""",
 sib AS (SELECT t.s1, t.mid, count(*) AS sib_n, max({_LEV.format(a='a.n_core', b='b.n_core')}) AS sib_name_max, avg({_LEV.format(a='a.n_core', b='b.n_core')}) AS sib_name_mean, max({_LEV.format(a='a.a_tokens', b='b.a_tokens')}) AS sib_addr_max, avg({_LEV.format(a='a.a_tokens', b='b.a_tokens')}) AS sib_addr_mean,
   sum(CAST(a.a_house <> '' AND a.a_house = b.a_house AS INTEGER)) AS sib_house_n, avg(CAST(a.a_house <> '' AND a.a_house = b.a_house AS INTEGER)) AS sib_house_share FROM sc t JOIN sc o ON o.s1 = t.s1 AND o.mid <> t.mid AND o.p >= 0.75 JOIN poolp a ON a.entity_id = t.mid JOIN poolp b ON b.entity_id = o.mid WHERE t.p < 0.75 GROUP BY 1, 2)
-SELECT sc.s1, sc.mid, coalesce(sib_n, 0) AS sib_n, coalesce(sib_name_max, -1) AS sib_name_max, coalesce(sib_name_mean, -1) AS sib_name_mean, coalesce(sib_addr_max, -1) AS sib_addr_max, coalesce(sib_addr_mean, -1) AS sib_addr_mean, coalesce(sib_house_n, 0) AS sib_house_n, coalesce(sib_house_share, -1) AS sib_house_share FROM sc LEFT JOIN sib USING (s1, mid) WHERE sc.p < 0.75""",
+SELECT sc.s1, sc.mid, coalesce(sib_n, 0) AS sib_n, coalesce(sib_name_max, -1) AS sib_name_max, coalesce(sib_name_mean, -1) AS sib_name_mean, coalesce(sib_addr_max, -1) AS sib_addr_max, coalesce(sib_addr_mean, -1) AS sib_addr_mean, coalesce(sib_house_n, -1) AS sib_house_n, coalesce(sib_house_share, -1) AS sib_house_share FROM sc LEFT JOIN sib USING (s1, mid) WHERE sc.p < 0.75""",
        longs="sib_house_n", doubles="sib_name_max sib_name_mean sib_addr_max sib_addr_mean sib_house_share")
 def s2_siblings(v: Views) -> DataFrame:
     _, pool, sc = lk_scored(v)
@@ -69,22 +75,43 @@ def s2_siblings_token_set(v: Views) -> DataFrame:
     return collective.sibling_support(sc.where("p < 0.75"), sc, pool)
 
 
-@query(None)
+_PF = {"pf_name_tset": ("n_core", 100), "pf_name_ratio": ("n_compact", 100), "pf_addr_tset": ("a_tokens", 100), "pf_addr_partial": ("a_tokens", 100)}
+
+
+@query(CANON + FEATURES_SQL + "\nSELECT s1, mid, " + ", ".join(f"100 * {_LEV.format(a=c + '_s', b=c + '_c')} AS {k}" for k, (c, _) in _PF.items()) + """, CAST(a_house_s = a_house_c AND a_house_s <> '' AS INTEGER) AS pf_house_eq,
+  CAST(a_house_s <> '' AND a_house_c <> '' AS INTEGER) AS pf_house_both, a_null_c AS pf_c_addr_null, CAST(region_s = region_c AS INTEGER) AS pf_region_eq, CAST(n_compact_s = n_compact_c AS INTEGER) AS pf_name_exact FROM atx""",
+       longs="pf_house_eq pf_house_both pf_c_addr_null pf_region_eq pf_name_exact", doubles=" ".join(_PF))
 def s2_direct_checks(v: Views) -> DataFrame:
-    return collective.direct_checks(feature_pairs(v)[2])
+    return collective.direct_checks(feature_pairs(v)[2], "levenshtein")
 
 
 @query(None)
-def s2_address_neighbours(v: Views) -> DataFrame:
-    from ..functions import kernels as K
+def s2_direct_checks_fuzzy(v: Views) -> DataFrame:
+    return collective.direct_checks(feature_pairs(v)[2])
+
+
+_BARE = "list_filter({0}, lambda x: NOT list_contains({1}, x))"
+_WORDS_S, _WORDS_C, _WORDS_A = (duck_tokens(c) for c in ("n_core_s", "n_core_c", "a_tokens_s"))
 
+
+def _nocity(words: str, column: str) -> str:
+    bare = f"array_to_string({_BARE.format(words, _WORDS_A)}, ' ')"
+    return f"CASE WHEN {bare} = '' THEN {column} ELSE {bare} END"
+
+
+@query(CANON + FEATURES_SQL + f""", hm AS (SELECT entity_id, country, a_tokens, a_house, n_core FROM s1p WHERE a_tokens <> '' AND a_house <> ''),
+nb AS (SELECT atx.s1, atx.mid, count(*) AS nb_n, max(100 * {_LEV.format(a='h.n_core', b='n_core_c')}) AS nb_best FROM atx JOIN hm o ON o.entity_id = atx.s1 JOIN hm h USING (country, a_tokens, a_house) WHERE h.entity_id <> atx.s1 GROUP BY ALL),
+nx AS (SELECT s1, mid, n_core_s, n_core_c, {_nocity(_WORDS_S, 'n_core_s')} AS bs, {_nocity(_WORDS_C, 'n_core_c')} AS bc FROM atx)
+SELECT nx.s1, nx.mid, coalesce(nb_n, 0) AS nb_n, coalesce(nb_best, 0) AS nb_best, 100 * {_LEV.format(a='n_core_s', b='n_core_c')} - coalesce(nb_best, 0) AS nb_margin, 100 * {_LEV.format(a='bs', b='bc')} AS nm_nocity FROM nx LEFT JOIN nb USING (s1, mid)""",
+       doubles="nb_best nb_margin nm_nocity")
+def s2_address_neighbours(v: Views) -> DataFrame:
     s1, _, df = feature_pairs(v)
-    return collective.address_neighbours(df.select("s1", "mid", "n_core_c", K.token_set_udf("n_core_s", "n_core_c").alias("own")), s1)
+    return collective.address_neighbours(df, s1, "levenshtein")
 
 
 def _ce(source: str, x: str) -> str:
     return f"""
-SELECT s1, mid, p_ce AS p_ce, CAST(sum(c) OVER s - c AS BIGINT) AS {x}_conf_other, row_number() OVER (PARTITION BY s1 ORDER BY p_ce DESC, mid) AS {x}_rank_s1, ln(q / (1 - q)) AS {x}_logit, rv AS {x}_rival, bo AS {x}_best_other, p_ce - rv AS {x}_margin FROM (
+SELECT s1, mid, p_ce AS p_ce, CAST(sum(c) OVER s - c AS BIGINT) AS {x}_conf_other, CAST(sum(c) OVER (PARTITION BY mid) - c AS BIGINT) AS {x}_mid_conf_other, row_number() OVER (PARTITION BY s1 ORDER BY p_ce DESC, mid) AS {x}_rank_s1, ln(q / (1 - q)) AS {x}_logit, rv AS {x}_rival, bo AS {x}_best_other, p_ce - rv AS {x}_margin FROM (
   SELECT *, CAST(p_ce >= 0.5 AS INTEGER) AS c, greatest(least(p_ce, 1 - 1e-6), 1e-6) AS q, CASE WHEN p_ce = max(p_ce) OVER (PARTITION BY mid) THEN coalesce(nth_value(p_ce, 2) OVER (PARTITION BY mid ORDER BY p_ce DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) ELSE max(p_ce) OVER (PARTITION BY mid) END AS rv,
   CASE WHEN p_ce = max(p_ce) OVER (PARTITION BY s1) THEN coalesce(nth_value(p_ce, 2) OVER (PARTITION BY s1 ORDER BY p_ce DESC, mid ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) ELSE max(p_ce) OVER (PARTITION BY s1) END AS bo FROM {source}) WINDOW s AS (PARTITION BY s1)"""
 
@@ -104,10 +131,16 @@ def s2_band(v: Views) -> DataFrame:
     return collective.band(scored(v)).select("s1", "mid", "p")
 
 
-@query(None)
+_BS = ", bs AS (SELECT s1, mid, CASE WHEN p >= 0.99 THEN CAST(1 AS DOUBLE) ELSE p_ce END AS p_ce FROM cs_pairs LEFT JOIN cs_scores USING (s1, mid) WHERE p >= 0.02 AND (p >= 0.99 OR p_ce IS NOT NULL))"
+
+
+@query(_GROUPED + _BS + ", ce AS (" + _ce("bs", "mini") + """), cx AS (SELECT s1, mid, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, mid) AS f1_p_rank_s1, max(p) OVER (PARTITION BY s1) - p AS f1_p_gap_s1, row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) AS f1_p_rank_mid FROM cs_pairs)
+SELECT g.* EXCLUDE (sec), CASE WHEN g_rank_mid = 1 THEN sec ELSE g_max_mid END AS g_rival, p - CASE WHEN g_rank_mid = 1 THEN sec ELSE g_max_mid END AS g_margin, ln(p) AS logp, ln(1 - p) AS log1mp, f1_p_rank_s1, f1_p_gap_s1, f1_p_rank_mid, (length(mid) % 5) / 5 AS rp, c.* EXCLUDE (s1, mid, p_ce), p_ce AS p_mini FROM g1 g JOIN cx USING (s1, mid) LEFT JOIN ce c USING (s1, mid) WHERE p >= 0.02 AND p < 0.99""",
+       longs="g_conf g_conf_s3 g_conf_s2", doubles="g_sum_p g_margin logp log1mp f1_p_gap_s1 mini_logit mini_margin rp")
 def s2_assembled(v: Views) -> DataFrame:
-    feats = P.competition(scored(v), "p").select("s1", "mid", "p_rank_s1", "p_gap_s1", "p_rank_mid")
-    return collective.assemble(scored(v), feats, collective.band_encoder(scored(v), v("cs_scores"), "mini")).drop("country", "region")
+    feats = P.competition(scored(v), "p").select("s1", "mid", "p_rank_s1", "p_gap_s1", "p_rank_mid", "n_cand_s1")
+    prior = scored(v).select("mid").distinct().withColumn("rp", F.expr("(char_length(mid) % 5) / 5D"))
+    return collective.assemble(scored(v), feats, collective.band_encoder(scored(v), v("cs_scores"), "mini"), drop=("n_cand_s1",), prior=prior).drop("country", "region")
 
 
 @query("""
@@ -120,18 +153,38 @@ def r2_counts_twins(v: Views) -> DataFrame:
     return collective.round_two(scored(v).withColumnRenamed("p", "q"), 0.75)
 
 
-@query(None)
+@query(CANON + FEATURES_SQL + _SCORES + """,
+tk AS (SELECT entity_id AS mid, concat_ws('|', n_compact, a_tokens, a_house) AS key, count(*) OVER (PARTITION BY concat_ws('|', n_compact, a_tokens, a_house)) AS size FROM poolp WHERE a_null = 0),
+ta AS (SELECT s1, mid, p AS q, CAST(row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) = 1 AND p >= 0.75 AS INTEGER) AS a FROM sc),
+tb AS (SELECT ta.*, max(a) OVER (PARTITION BY mid) AS held, key, size FROM ta LEFT JOIN (SELECT * FROM tk WHERE size >= 2) USING (mid)),
+tc AS (SELECT *, sum(a) OVER (PARTITION BY key, s1) AS k_own, sum(q) OVER (PARTITION BY key, s1) AS k_q, sum(a) OVER (PARTITION BY key) AS k_all FROM tb)
+SELECT s1, mid, coalesce(size, 1) - 1 AS tw_n, CASE WHEN key IS NULL THEN 0 ELSE k_own END - a AS tw_own, CASE WHEN key IS NULL THEN 0 ELSE k_all END - held - (CASE WHEN key IS NULL THEN 0 ELSE k_own END - a) AS tw_oth, CASE WHEN key IS NULL THEN 0 ELSE k_q - q END AS tw_qsum FROM tc""",
+       longs="tw_n tw_own tw_oth", doubles="tw_qsum")
 def r2_twins(v: Views) -> DataFrame:
     _, pool, sc = lk_scored(v)
     return collective.twins(sc.withColumnRenamed("p", "q"), pool, 0.75)
 
 
-@query(None)
+_RECORD = CANON + f""", known AS (SELECT DISTINCT unnest({duck_tokens('n_core')}) AS t FROM s1p),
+oov AS (SELECT entity_id, avg(CAST(known.t IS NULL AS INTEGER)) AS oov_share FROM (SELECT entity_id, unnest({duck_tokens('n_core')}) AS t FROM poolp) w LEFT JOIN known USING (t) GROUP BY entity_id)"""
+
+
+@query(_RECORD + r"""
+SELECT entity_id, coalesce(oov_share, 1) AS oov_share, len(string_split(n_core, ' ')) AS name_tokens, length(coalesce(name, '')) AS name_len, length(coalesce(address, '')) AS addr_len, len(regexp_extract_all(coalesce(address, ''), ',')) AS addr_commas, CAST(n_legal <> '' AS INTEGER) AS has_legal, CAST(a_house <> '' AS INTEGER) AS has_house,
+  CAST(coalesce(name, '') = upper(coalesce(name, '')) AS INTEGER) AS name_upper, CAST(coalesce(address, '') = upper(coalesce(address, '')) AS INTEGER) AS addr_upper, CAST(regexp_matches(coalesce(name, ''), '[0-9]') AS INTEGER) AS name_digit, len(regexp_extract_all(coalesce(name, ''), '[&+\-.()\[\]/]')) AS name_punct, n_native AS native, n_alias AS alias, n_web AS web, a_null AS addr_null, CAST(starts_with(entity_id, 'S2') AS INTEGER) AS is_s2
+  FROM poolp LEFT JOIN oov USING (entity_id)""", longs="name_tokens name_len addr_len addr_commas has_legal has_house name_upper addr_upper name_digit name_punct native alias web addr_null is_s2", doubles="oov_share")
 def record_prior_features(v: Views) -> DataFrame:
     s1, pool = sides(v)
     return collective.record_features(pool, s1)
 
 
+@query(None)
+def record_prior(v: Views) -> DataFrame:
+    s1, pool = sides(v)
+    regions = s1.select("country", "region").distinct().where("length(region) % 2 = 0")
+    return models.record_prior(collective.record_features(pool, s1).join(pool.select("entity_id", "country", "region"), "entity_id"), v("lk_truth"), regions, rounds=5, depth=3)[0]
+
+
 @query("""
 , hi AS (SELECT DISTINCT mid FROM cs_pairs WHERE p >= 0.99), c AS (SELECT s1, mid, p, max(p) OVER m AS p1_best, coalesce(nth_value(p, 2) OVER (PARTITION BY mid ORDER BY p DESC, s1 ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS p1_second FROM cs_pairs WHERE mid IN (SELECT mid FROM hi) WINDOW m AS (PARTITION BY mid))
 SELECT *, CASE WHEN p = p1_best THEN p1_second ELSE p1_best END AS p1_rival, p - CASE WHEN p = p1_best THEN p1_second ELSE p1_best END AS p1_margin FROM c""", doubles="p1_margin")
@@ -175,36 +228,44 @@ def threshold_grid(v: Views) -> DataFrame:
     return decide.threshold_grid(scored(v), v("cs_truth"), v("cs_s1"), _GRID)
 
 
-_TXT = CANON + FEATURES_SQL + _SCORES + f""", tx AS (SELECT sc.*, a.country AS ctry, a.n_core AS c1, b.n_core AS c2, a.a_tokens AS a1, b.a_tokens AS a2, a.a_house AS h1, b.a_house AS h2, b.a_null AS null2, 100 * {_LEV.format(a='a.a_tokens', b='b.a_tokens')} AS ad FROM sc JOIN s1p a ON a.entity_id = sc.s1 JOIN poolp b ON b.entity_id = sc.mid),
-vocx AS (SELECT country, t, df1, f1, f2 FROM (SELECT coalesce(a.country, b.country) AS country, coalesce(a.t, b.t) AS t, coalesce(a.df1, 0) AS df1, coalesce(a.f1, 0) AS f1, coalesce(b.f2, 0) AS f2
-  FROM (SELECT country, t, count(*) AS df1, count(*) / any_value(n) * 1000 AS f1 FROM (SELECT country, unnest(list_distinct(string_split(n_core, ' '))) AS t, count(*) OVER (PARTITION BY country) AS n FROM s1p) WHERE t <> '' GROUP BY ALL) a
-  FULL JOIN (SELECT country, t, count(*) AS f2 FROM (SELECT country, unnest(list_distinct(string_split(n_core, ' '))) AS t FROM poolp) WHERE t <> '' GROUP BY ALL) b ON a.country = b.country AND a.t = b.t))"""
+_TXT = CANON + duck_canon("lk_swaps", "swp") + f""", tx AS (SELECT s1, mid, a.country AS ctry, a.n_core AS c1, b.n_core AS c2, a.a_tokens AS a1, b.a_tokens AS a2, a.a_house AS h1, b.a_house AS h2, b.a_null AS null2, 100 * {_LEV.format(a='a.a_tokens', b='b.a_tokens')} AS ad FROM lk_swap_pairs JOIN s1p a ON a.entity_id = s1 JOIN swp b ON b.entity_id = mid),
+vw AS (SELECT 1 AS side, country, unnest(list_distinct({duck_tokens('n_core')})) AS t FROM s1p UNION ALL SELECT 2, country, unnest(list_distinct({duck_tokens('n_core')})) FROM poolp),
+vn AS (SELECT 1 AS side, country, count(*) AS n FROM s1p GROUP BY ALL UNION ALL SELECT 2, country, count(*) FROM poolp GROUP BY ALL),
+vocx AS (SELECT country, t, count(*) FILTER (WHERE side = 1) AS df1, coalesce(sum(1000 / n) FILTER (WHERE side = 1), 0) AS f1, coalesce(sum(1000 / n) FILTER (WHERE side = 2), 0) AS f2 FROM vw JOIN vn USING (side, country) GROUP BY ALL)"""
 _SET1, _SET2 = f"list_distinct({duck_tokens('c1')})", f"list_distinct({duck_tokens('c2')})"
 _OTHER = "(h1 <> h2 AND h1 <> '' AND h2 <> '' AND ad >= 80)"
 
 
+def swap_texts(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, pool, and pairs whose record has another word, a misspelling, a noise word, initials or other words, with texts."""
+    s1, pool = sides(v)
+    return s1, pool, decide.attach_texts(v("lk_swap_pairs"), s1, materialize(prepared(v, "lk_swaps"), "swaps"), "levenshtein")
+
+
 @query(_TXT + f""", ex AS (SELECT s1, mid, ctry, list_filter({_SET2}, lambda x: NOT list_contains({_SET1}, x)) AS add_, list_filter({_SET1}, lambda x: NOT list_contains({_SET2}, x)) AS rem FROM tx WHERE h1 = h2 AND h1 <> '' AND ad >= 90 AND null2 = 0),
 wd AS (SELECT s1, mid, ctry, rem, unnest(add_) AS w FROM ex WHERE len(rem) > 0 AND len(add_) > 0)
-SELECT DISTINCT s1, mid FROM wd WHERE length(w) >= 4 AND (ctry, w) IN (SELECT (country, t) FROM vocx WHERE df1 >= 5) AND len(list_filter(rem, lambda x: {_LEV.format(a='w', b='x')} >= 0.75)) = 0""")
+SELECT DISTINCT s1, mid FROM wd WHERE length(w) >= 4 AND (ctry, w) IN (SELECT (country, t) FROM vocx WHERE df1 >= 5) AND (ctry, w) NOT IN (SELECT (country, t) FROM vocx WHERE f2 >= 0.5 AND f2 / (f1 + 0.05) >= 1.1) AND len(list_filter(rem, lambda x: {_LEV.format(a='w', b='x')} >= 0.75)) = 0""")
 def swap_veto(v: Views) -> DataFrame:
-    s1, pool, sc = lk_scored(v)
+    s1, pool, texts = swap_texts(v)
     voc = learn.vocabulary(s1, pool)
-    return decide.swap_pairs(decide.attach_texts(sc.select("s1", "mid"), s1, pool, "levenshtein"), learn.noise_vocabulary(voc).limit(0), learn.real_vocabulary(voc, 5), "levenshtein")
+    return decide.swap_pairs(texts, learn.noise_vocabulary(voc), learn.real_vocabulary(voc, 5), "levenshtein")
 
 
 @query(_TXT + f"""
 SELECT s1, mid FROM tx WHERE null2 = 0 AND len({_SET2}) > 0 AND len(list_filter({_SET2}, lambda x: NOT list_contains({_SET1}, x))) > 0
-  AND len(list_filter(list_filter({_SET2}, lambda x: NOT list_contains({_SET1}, x)), lambda x: NOT list_contains({duck_list([*T.NOISE_WORDS, 'ring', 'bolt'])}, x))) = 0 AND ((h1 = h2 AND h1 <> '' AND ad >= 90) OR (ad >= 70 AND NOT {_OTHER}))""")
+  AND len(list_filter(list_filter({_SET2}, lambda x: NOT list_contains({_SET1}, x)), lambda x: NOT list_contains({duck_list(T.NOISE_WORDS)}, x))) = 0 AND ((h1 = h2 AND h1 <> '' AND ad >= 90) OR (ad >= 70 AND NOT {_OTHER}))""")
 def drop_noise_accept(v: Views) -> DataFrame:
-    s1, pool, sc = lk_scored(v)
-    return decide.drop_noise_pairs(decide.attach_texts(sc.select("s1", "mid"), s1, pool, "levenshtein"), [*T.NOISE_WORDS, "ring", "bolt"])
+    return decide.drop_noise_pairs(swap_texts(v)[2])
+
 
+_INITIALS = "array_to_string(list_transform({0}, lambda w: left(w, 1)), '')"
+_SMALL = f"list_filter({duck_tokens('c1')}, lambda w: NOT list_contains({duck_list(T.ACRONYM_STOP_WORDS)}, w))"
 
-@query(", a AS (SELECT entity_id AS s1, name AS c1 FROM lk_ref)\nSELECT s1, array_to_string(list_transform(string_split(c1, ' '), lambda w: left(w, 1)), '') AS mid FROM a")
+
+@query(_TXT + f"""
+SELECT s1, mid FROM (SELECT *, replace(replace(c2, ' ', ''), '.', '') AS short FROM tx) WHERE null2 = 0 AND ad >= 70 AND NOT {_OTHER} AND length(short) >= 2 AND len({duck_tokens('c1')}) >= 2 AND short IN ({_INITIALS.format(duck_tokens('c1'))}, {_INITIALS.format(_SMALL)})""")
 def acronym_accept(v: Views) -> DataFrame:
-    initials = F.array_join(F.transform(F.split("c1", " "), lambda w: F.substring(w, 1, 1)), "")
-    df = v("lk_ref").select(F.col("entity_id").alias("s1"), F.col("name").alias("c1")).withColumns({"mid": initials, "c2": initials, "a1": F.lit("x"), "a2": F.lit("x"), "h1": F.lit(""), "h2": F.lit(""), "null2": F.lit(0), "ad": F.lit(100.0)})
-    return decide.acronym_pairs(df)
+    return decide.acronym_pairs(swap_texts(v)[2])
 
 
 @query(_DEC + """, fr AS (SELECT * FROM cs_pairs WHERE p >= 0.5 AND s1 NOT IN (SELECT s1 FROM dec90) AND mid NOT IN (SELECT mid FROM dec90)), f1 AS (SELECT *, row_number() OVER (PARTITION BY mid ORDER BY p DESC, s1) AS r FROM fr), f2 AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, mid) AS k FROM f1 WHERE r = 1)
@@ -213,18 +274,24 @@ def empty_rescue(v: Views) -> DataFrame:
     return decide.empty_rescue(scored(v), decide.assign(scored(v), 0.97), 0.5).select("s1", "mid", "p")
 
 
-@query("SELECT s1, mid, CASE WHEN p >= 0.6 AND p_ce >= 0.9 THEN greatest(p, 0.99) WHEN p < 0.5 AND p_ce < 0.2 THEN 0 ELSE p END AS p FROM cs_pairs LEFT JOIN cs_scores USING (s1, mid)", doubles="p")
+@query("SELECT s1, mid, CASE WHEN country IN ('ASIA', 'EUROPE') AND p_ce IS NOT NULL AND p < 0.7 AND p_ce <= 0.3 THEN 0 WHEN country IN ('ASIA', 'EUROPE') AND p >= 0.5 AND p_ce >= 0.28 THEN greatest(p, 0.99) ELSE p END AS p FROM cs_pairs LEFT JOIN cs_scores USING (s1, mid)", doubles="p")
 def two_score_rules(v: Views) -> DataFrame:
-    return decide.two_score_rules(scored(v), v("cs_scores").withColumnRenamed("p_ce", "q"), (0.6, 0.9), (0.5, 0.2)).select("s1", "mid", "p")
+    rules = decide.JudgeRules((0.5, 0.28), (0.7, 0.3), ("ASIA", "EUROPE"))
+    return decide.two_score_rules(scored(v), v("cs_scores").withColumnRenamed("p_ce", "q"), rules).select("s1", "mid", "p")
 
 
 @query(None)
 def decide_all_rules(v: Views) -> DataFrame:
     s1, pool, sc = lk_scored(v)
+    swaps = materialize(prepared(v, "lk_swaps"), "swaps")
+    more = v("lk_swap_pairs").join(s1.select(F.col("entity_id").alias("s1"), "country"), "s1").withColumn("p", F.expr("IF(length(mid) % 2 = 0, 0.8D, 0.3D)"))
     voc = materialize(learn.vocabulary(s1, pool), "voc")
-    every = tuple(r["country"] for r in v("part").select(F.col("p_type").alias("country")).distinct().limit(50).collect())
-    config = decide.Config(0.7, swap_veto=every, swap_veto_final=True, add_drop_noise=every, add_acronym=every, empty_rescue=0.4)
-    return decide.decide(sc, s1, pool, config, learn.noise_vocabulary(voc), learn.real_vocabulary(voc, 5))
+    every = decide.EVERYWHERE
+    judge = decide.JudgeRules((0.6, 0.9), (0.5, 0.2), every)
+    config = decide.Config(0.7, swap_veto=every, judge=judge, swap_veto_final=every, add_drop_noise=every, add_acronym=every, empty_rescue=0.4)
+    scores = materialize(sc.unionByName(more.select(sc.columns)), "scores")
+    judged = scores.where("s1 LIKE '%3'").select("s1", "mid", F.lit(0.95).alias("q"))
+    return decide.decide(scores, s1, pool.unionByName(swaps), config, learn.noise_vocabulary(voc), learn.real_vocabulary(voc, 5), judged)
 
 
 @query("SELECT s1, mid, CASE WHEN a.p IS NULL THEN p_ce WHEN p_ce IS NULL THEN a.p ELSE (a.p + p_ce) / 2 END AS p FROM cs_pairs a FULL JOIN cs_scores USING (s1, mid)", doubles="p")
@@ -368,12 +435,16 @@ def _entities(v: Views) -> DataFrame:
     return v("customer").join(v("nation"), F.expr("n_nationkey = c_nationkey")).join(v("region"), F.expr("r_regionkey = n_regionkey")).select(F.concat(F.lit("S1-"), "c_custkey").alias("entity_id"), F.col("r_name").alias("country"), F.col("n_name").alias("region"))
 
 
-@query(None)
-def universes(v: Views) -> DataFrame:
-    return evaluate.universes(_entities(v), {"val": 0.2, "train": 0.3})
+_ENT = ", en AS (SELECT 'S1-' || CAST(c_custkey AS VARCHAR) AS entity_id, r_name AS country, n_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"
 
 
-_ENT = ", en AS (SELECT 'S1-' || CAST(c_custkey AS VARCHAR) AS entity_id, r_name AS country, n_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"
+@query(_ENT + """, ub AS (SELECT country, region, count(*) AS n, CAST('0x' || substr(md5('42:' || country || '|' || region), 1, 8) AS BIGINT) AS u FROM en GROUP BY ALL),
+uo AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY u, region) AS i, sum(n) OVER (PARTITION BY country) AS t FROM ub),
+ud AS (WITH RECURSIVE d AS (SELECT country, 0 AS i, CAST(0 AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS r, '' AS region, '' AS universe FROM (SELECT DISTINCT country FROM uo) UNION ALL
+  SELECT country, i, CASE WHEN universe = 'val' THEN v + n ELSE v END, CASE WHEN universe = 'train' THEN r + n ELSE r END, region, universe FROM (SELECT d.country, uo.i, v, r, n, uo.region, CASE WHEN v < 0.2 * t AND v + n <= 1.5 * 0.2 * t THEN 'val' WHEN r < 0.3 * t AND r + n <= 1.5 * 0.3 * t THEN 'train' ELSE 'unused' END AS universe FROM d JOIN uo ON uo.country = d.country AND uo.i = d.i + 1)) SELECT * FROM d WHERE i > 0)
+SELECT entity_id, universe, CAST('0x' || substr(md5('43:' || entity_id), 1, 8) AS BIGINT) / 4294967295 < 0.81 AS is_query FROM en JOIN ud USING (country, region)""")
+def universes(v: Views) -> DataFrame:
+    return evaluate.universes(_entities(v), {"val": 0.2, "train": 0.3})
 
 
 @query(_ENT + ", b AS (SELECT country, region, count(*) AS n FROM en GROUP BY ALL), o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY country ORDER BY md5('44:' || country || '|' || region), region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY country) AS t FROM b)\nSELECT country, region, n FROM o WHERE before < 0.25 * t")
@@ -419,7 +490,14 @@ def repair_oracle(v: Views) -> DataFrame:
     return evaluate.repair_oracle(decided(v), v("cs_truth"), v("cs_s1"), scored(v).where("p >= 0.95"))
 
 
-@query(None)
+def _budget(name: str, rows: str) -> str:
+    return f"SELECT '{name}' AS fix, avg({_F}) AS macro_f05 FROM (SELECT e.s1, coalesce(t, 0) AS t, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM (SELECT DISTINCT s1 FROM cs_s1) e LEFT JOIN (SELECT s1, count(*) AS t FROM tr GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS n FROM ({rows}) GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS tp FROM ({rows}) x JOIN tr USING (s1, mid) GROUP BY 1) USING (s1))"
+
+
+_BUDGETS = {"none": "SELECT s1, mid FROM dec", "false positives": "SELECT s1, mid FROM dec JOIN tr USING (s1, mid)", "false negatives": "SELECT s1, mid FROM dec UNION SELECT s1, mid FROM tr"}
+
+
+@query(_DEC + ", tr AS (SELECT DISTINCT s1, mid FROM cs_truth), bg AS (" + " UNION ALL ".join(_budget(k, r) for k, r in _BUDGETS.items()) + ")\nSELECT fix, macro_f05 FROM bg", doubles="macro_f05")
 def error_budget(v: Views) -> DataFrame:
     return evaluate.error_budget(decided(v), v("cs_truth"), v("cs_s1"))
 
@@ -455,7 +533,7 @@ def auc_logloss(v: Views) -> DataFrame:
 @query(None)
 def size_bias(v: Views) -> DataFrame:
     per = v("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("u"))
-    f = audit.size_bias(audit.histogram(per, "u", 9), audit.histogram(per.withColumn("u", F.col("u")), "u", 9))
+    f = audit.size_bias(audit.histogram(per.where("u > 0"), "n", 9), audit.histogram(per, "u", 9))
     return v.spark.createDataFrame([(f,)], "distractors double")
 
 
@@ -488,11 +566,36 @@ def gbt_out_of_fold(v: Views) -> DataFrame:
     return models.out_of_fold(rows, _X, 2, rounds=5, depth=3).select("s1", "mid", "fold", "p2")
 
 
-@query(None)
+@query(_ENT + """, rb AS (SELECT country, region, count(*) AS n FROM en GROUP BY ALL), ro AS (SELECT *, row_number() OVER (ORDER BY n DESC, country, region) AS i FROM rb),
+rf AS (WITH RECURSIVE d AS (SELECT 0 AS i, [0, 0, 0, 0]::BIGINT[] AS filled, '' AS country, '' AS region, 0 AS fold UNION ALL
+  SELECT i, list_transform(filled, lambda x, k: CASE WHEN k = f THEN x + n ELSE x END), country, region, f - 1 FROM (SELECT ro.i, filled, ro.country, ro.region, n, list_position(filled, list_min(filled)) AS f FROM d JOIN ro ON ro.i = d.i + 1)) SELECT * FROM d WHERE i > 0)
+SELECT country, region, fold FROM rf""", longs="fold")
 def region_folds(v: Views) -> DataFrame:
     return models.region_folds(_entities(v), 4)
 
 
+@query(None)
+def record_group_folds(v: Views) -> DataFrame:
+    return models.record_group_folds(scored(v), _entities(v).withColumnRenamed("entity_id", "s1"), 4)
+
+
+@query("SELECT s1, mid, country, region, coalesce(p_ce, p) AS p FROM cs_pairs LEFT JOIN cs_scores USING (s1, mid)")
+def rescore_band(v: Views) -> DataFrame:
+    return models.rescore(scored(v), v("cs_scores").withColumnRenamed("p_ce", "p2"))
+
+
+@query(_WIN + """, b9 AS (SELECT s1, mid FROM cs_pairs WHERE p >= 0.95)
+SELECT s1, mid, country, region, p FROM cs_pairs WHERE s1 NOT IN (SELECT s1 FROM b9) AND mid NOT IN (SELECT mid FROM b9)""")
+def purged_rows(v: Views) -> DataFrame:
+    return models.purged(scored(v), scored(v).where("p >= 0.95"))
+
+
+@query(None)
+def leave_country_out(v: Views) -> DataFrame:
+    rows = materialize(_model_rows(v).join(sides(v)[0].select(F.col("entity_id").alias("s1"), "country"), "s1"), "rows")
+    return models.leave_country_out(rows, _X, "SMALL", rounds=5, depth=3).select("s1", "mid", "p")
+
+
 @query(None)
 def logit_stack(v: Views) -> DataFrame:
     df = labelled(v).join(v("cs_scores").withColumnRenamed("p_ce", "q"), ["s1", "mid"])

@@ -27,6 +27,15 @@ SELECT entity_id, p_type AS country, CASE WHEN noise IN (5, 6) THEN '' ELSE p_br
 FROM lk_copies""",
     "lk_truth": """
 SELECT 'S1-' || CAST(p_partkey AS STRING) AS s1, entity_id AS mid FROM lk_copies WHERE p_partkey % 5 <> 0""",
+    "lk_swaps": """
+SELECT 'S2-9' || CAST(p_partkey AS STRING) AS entity_id, p_type AS country, p_brand AS region,
+       CASE p_partkey % 6 WHEN 0 THEN split_part(p_name, ' ', 1) || ' anvil' WHEN 1 THEN p_name || 'x'
+                          WHEN 2 THEN split_part(p_name, ' ', 1) || ' widgett' WHEN 3 THEN split_part(p_name, ' ', 1) || ' group'
+                          WHEN 4 THEN substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1) ELSE 'hot cold' END AS name,
+       CAST((p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 900 + 1 AS STRING) || ' Main Street, ' || p_brand || ', ' || p_type AS address
+FROM part WHERE p_partkey % 5 <> 0""",
+    "lk_swap_pairs": """
+SELECT 'S1-' || CAST(p_partkey AS STRING) AS s1, 'S2-9' || CAST(p_partkey AS STRING) AS mid FROM part WHERE p_partkey % 5 <> 0""",
     "cs_s1": """
 SELECT 'S1-' || CAST(s_suppkey AS STRING) AS s1, r_name AS country, n_name AS region
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",

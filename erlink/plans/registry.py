@@ -88,7 +88,7 @@ def duck_sims(block: str, field: str, name: str, s1: str = "s1p", pool: str = "p
 {name}_df AS (SELECT {block}, term, count(*) AS df FROM {name}_tf GROUP BY ALL),
 {name}_x AS (SELECT side, {block}, entity_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS x FROM {name}_tf JOIN {name}_df USING ({block}, term) JOIN {name}_n USING ({block}) WHERE n <= 20000 OR df <= 0.05 * n),
 {name}_w AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY side, {block}, entity_id)) AS w FROM {name}_x),
-{name} AS (SELECT {", ".join("a." + b.strip() for b in block.split(","))}, a.entity_id AS s1, b.entity_id AS mid, round(sum(a.w * b.w), 6) AS cos FROM {name}_w a JOIN {name}_w b USING ({block}, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= {least})"""
+{name} AS (SELECT {", ".join("a." + b.strip() for b in block.split(","))}, a.entity_id AS s1, b.entity_id AS mid, sum(a.w * b.w) AS raw, round(sum(a.w * b.w), 6) AS cos FROM {name}_w a JOIN {name}_w b USING ({block}, term) WHERE a.side = 0 AND b.side = 1 GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= {least})"""
 
 
 def prepared(v: Views, view: str) -> DataFrame:

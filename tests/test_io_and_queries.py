@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import subprocess
 import sys
 
@@ -118,7 +119,9 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql()) - HEAVY))
 def test_query_runs(spark, name):
     df = queries.queries()[name](spark, SMALL)
-    assert df.columns and len(df.collect()) >= 0
+    rows = df.collect()
+    assert rows and len(set(df.columns)) == len(df.columns)
+    assert all(x is None or not isinstance(x, float) or math.isfinite(x) for r in rows for x in r)
 
 
 def test_views_in_both_engines(spark, duck):

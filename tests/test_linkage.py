@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from erlink.functions import kernels
 from erlink.operators import audit, collective, decide, evaluate, exports, models, pairs
 from erlink.operators import blocking as B
 
@@ -54,20 +55,45 @@ def test_blocking_passes(spark):
     s1 = rec(spark, ("S1-1", "c", "r", "red fox", "1 main st", "1"), ("S1-2", "c", "", "blue owl", "2 oak rd", "2"), ("S1-3", "c", "q", "ab", "", ""))
     pool = rec(spark, ("S2-1", "c", "r", "red fox", "1 main st", "1"), ("S2-2", "c", "", "red fox", "", ""), ("S3-3", "c", "z", "blue owl", "2 oak rd", "2"), ("S3-4", "d", "r", "red fox", "1 main st", "1"))
     leaks = spark.createDataFrame([("c", "r", "z")], "country string, region string, m_region string")
-    got = {(r.s1, r.mid): (r.name_cos, r.addr_cos, r.hit) for r in B.generate(s1, pool, 5, 5, 5, leaks, True).collect()}
-    assert got["S1-1", "S2-1"][2] == B.NAME | B.ADDRESS | B.COMBINED | B.EXACT and got["S1-1", "S2-1"][0] == 1.0
-    assert got["S1-1", "S2-2"][2] == B.FALLBACK | B.EXACT
+    got = {(r.s1, r.mid): (r.name_cos, r.addr_cos, r.hit) for r in B.generate(s1, pool, 5, 5, 5, 5, 5, 5, leaks, True).collect()}
+    assert got["S1-1", "S2-1"] == (1.0, 1.0, B.NAME | B.ADDRESS | B.COMBINED | B.EXACT | B.REVERSE)
+    assert got["S1-1", "S2-2"] == (1.0, 0.0, B.FALLBACK | B.EXACT | B.REVERSE)
     assert got["S1-2", "S3-3"][2] & (B.NAME | B.ADDRESS) == B.NAME | B.ADDRESS
     assert not any(m == "S3-4" or s == "S1-3" for s, m in got)
     truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-3", "S2-2")], "s1 string, mid string")
-    rows = {r["pass"]: (r.pairs, r.found) for r in B.recall(B.generate(s1, pool, 5, 5), truth).collect()}
+    rows = {r["pass"]: (r.pairs, r.found) for r in B.recall(B.generate(s1, pool, 5, 5, 5), truth).collect()}
     assert rows[0] == (2, 1) and rows[B.FALLBACK] == (2, 0)
-    assert [(r.relation, r.n) for r in B.missed(truth, B.generate(s1, pool, 5, 5), s1, pool).collect()] == [("no region", 1)]
-    held = B.containment_pass(s1, pool).collect()
-    assert {(r.s1, r.mid) for r in held} == {("S1-1", "S2-1")}
+    assert [(r.relation, r.n) for r in B.missed(truth, B.generate(s1, pool, 5, 5, 5), s1, pool).collect()] == [("no region", 1)]
+    assert {(r.s1, r.mid) for r in B.containment_pass(s1, pool).collect()} == {("S1-1", "S2-1")}
     assert {(r.s1, r.mid) for r in B.reverse_pass(s1, pool).collect()} == {("S1-1", "S2-2")}
-    cos = {(r.s1, r.mid): r.cos for r in B.cosine_of(truth, s1, pool, ["country"], B.char_grams("n_compact")).collect()}
-    assert cos["S1-1", "S2-1"] == 1.0 and cos["S1-3", "S2-2"] == 0
+
+
+def test_every_candidate_has_both_cosines(spark):
+    s1 = rec(spark, ("S1-1", "c", "r", "red fox", "1 main st", "1"))
+    pool = rec(spark, ("S2-1", "c", "r", "red fox", "9 elm st", "9"), ("S2-2", "c", "r", "red owl", "1 main st", "1"), ("S2-3", "c", "", "red fox", "1 main st", ""))
+    one = {r.mid: r for r in B.generate(s1, pool, 1, 0, 1).collect()}
+    assert set(one) == {"S2-1", "S2-3"} and one["S2-1"].hit == B.NAME and 0 < one["S2-1"].addr_cos < 1 and one["S2-3"].addr_cos == 1.0
+    by_address = {r.mid: r for r in B.generate(s1, pool, 0, 1, 0).collect()}
+    assert set(by_address) == {"S2-2"} and 0 < by_address["S2-2"].name_cos < 1 and by_address["S2-2"].addr_cos == 1.0
+
+
+@pytest.mark.parametrize("tile", [3, 4096])
+def test_tiles_do_not_change_a_search(spark, tile):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abc"), int(rng.integers(3, 9))))
+    s1 = rec(spark, *[(f"S1-{i}", "c", "r", word(), f"{i % 3} {word()}", "") for i in range(12)])
+    pool = rec(spark, *[(f"S2-{i}", "c", "r", word(), f"{i % 3} {word()}", "") for i in range(17)])
+    passes = [B.Pass("name", 3, 1), B.Pass("address", 3, 2), B.Pass("combined", 3, 4), B.Pass("held", 2, 8, "mid"), B.Pass("name", 2, 16, "mid")]
+    got = {(r.s1, r.mid): r for r in B.search([(s1, pool, ["country"], passes)], tile=tile).collect()}
+    whole = [B.Pass(p.score, 999, p.hit, p.by, p.least) for p in passes]
+    every = [r for r in B.search([(s1, pool, ["country"], whole)]).collect()]
+    want = {}
+    for p, col in zip(passes, ("name_cos", "addr_cos", "both", "held", "name_cos"), strict=True):
+        for key in {r[p.by] for r in every}:
+            rows = sorted((r for r in every if r[p.by] == key and r[col] >= p.least), key=lambda r: (-r[col], r.mid if p.by == "s1" else r.s1))
+            for r in rows[: p.k]:
+                want[r.s1, r.mid] = want.get((r.s1, r.mid), 0) | p.hit
+    assert {k: r.hit for k, r in got.items()} == want
 
 
 def test_exact_keys_are_capped(spark):
@@ -87,17 +113,71 @@ def test_house_and_token_features(spark):
     got = {r.s1: r for r in pairs.token_overlap(pairs.house(df), "n_core", "nt").collect()}
     a, b, c = got["a"], got["b"], got["c"]
     assert (a.house_both, a.house_eq, a.house_len_eq, a.house_perm, a.house_s_in_cnums, a.house_c_in_snums) == (1, 0, 1, 1, 1, 0)
+    assert b.house_c_in_snums == 0 and pairs.house(df.withColumns({"a_house_s": F.lit("7"), "a_house_c": F.lit("7")})).where("house_perm = 1 AND house_eq = 1").count() == 3
+    assert pairs.house(df.where("s1 = 'b'").withColumn("a_house_c", F.lit(""))).first().house_c_in_snums == 1
     assert abs(a.house_gap - math.log1p(9)) < 1e-9 and b.house_gap == -1 and b.house_both == 0 and (c.house_sub, c.house_last_eq) == (1, 1)
     assert (round(a.nt_jacc, 6), a.nt_s_in_c, a.nt_n1) == (round(1 / 3, 6), 0.5, 2) and b.nt_jacc == 0 and b.nt_s_in_c == 0 and c.nt_jacc == 1
 
 
 def test_idf_containment(spark):
     s1 = rec(spark, ("S1-1", "c", "r", "red fox", "x", ""), ("S1-2", "c", "r", "red owl", "x", ""), ("S1-3", "c", "r", "", "x", ""))
-    df = spark.createDataFrame([("S1-1", "m", "c", "red fox", "red new", "rednew"), ("S1-3", "m", "c", "", "", "")], "s1 string, mid string, country_s string, n_core_s string, n_core_c string, n_compact_c string")
+    df = spark.createDataFrame([("S1-1", "m", "c", "red fox", "red new", "rednew"), ("S1-3", "m", "c", "", "", ""), ("S1-2", "m", "c", "red owl", "fox new red", "foxnewred")], "s1 string, mid string, country_s string, n_core_s string, n_core_c string, n_compact_c string")
     got = {r.s1: r for r in pairs.idf_containment(df, s1).collect()}
     red, fox = math.log(3 / 2), math.log(3)
     assert abs(got["S1-1"].nm_idf_s_in_c - red / (red + fox)) < 1e-9 and abs(got["S1-1"].nm_extra_tok_idf - fox) < 1e-9
     assert (got["S1-1"].rare_tok_hit, got["S1-1"].rare_tok_sub) == (0, 0) and abs(got["S1-1"].rare_tok_idf - fox) < 1e-9 and got["S1-3"].nm_idf_total1 == 0
+    assert abs(got["S1-2"].nm_extra_tok_idf - fox) < 1e-9  # the larger of two new words, not their sum
+
+
+def test_direct_checks_and_neighbours(spark):
+    cols = "s1 string, mid string, n_core_s string, n_core_c string, n_compact_s string, n_compact_c string, a_tokens_s string, a_tokens_c string, a_house_s string, a_house_c string, region_s string, region_c string, a_null_c int"
+    df = spark.createDataFrame([("S1-1", "S2-1", "red fox lille", "fox lille", "redfoxlille", "foxlille", "1 rue lille", "1 rue", "1", "1", "r", "r", 0), ("S1-2", "S2-2", "owl", "", "owl", "", "", "", "", "", "", "", 1)], cols)
+    got = {r.s1: r for r in collective.direct_checks(df).collect()}
+    a, b = got["S1-1"], got["S1-2"]
+    assert (a.pf_name_tset, a.pf_house_eq, a.pf_house_both, a.pf_c_addr_null, a.pf_region_eq, a.pf_name_exact) == (100, 1, 1, 0, 1, 0)
+    assert abs(a.pf_name_ratio - 200 * 8 / 19) < 1e-9 and (b.pf_house_eq, b.pf_c_addr_null, b.pf_region_eq) == (0, 1, 1)
+    s1 = rec(spark, ("S1-1", "c", "r", "red fox lille", "1 rue lille", "1"), ("S1-3", "c", "r", "fox lille", "1 rue lille", "1"), ("S1-4", "c", "r", "red fox lille", "1 rue lille", "1"), ("S1-2", "c", "r", "owl", "", ""))
+    near = {r.s1: r for r in collective.address_neighbours(df, s1).collect()}
+    assert (near["S1-1"].nb_n, near["S1-1"].nb_best, near["S1-1"].nb_margin) == (2, 100, 0) and near["S1-1"].nm_nocity == 100
+    assert (near["S1-2"].nb_n, near["S1-2"].nb_best, near["S1-2"].nb_margin) == (0, 0, 0)
+
+
+def test_hubs_name_classes_and_typo_swaps(spark):
+    s1 = rec(spark, ("S1-1", "c", "r", "red fox", "1 main st", "1"), ("S1-2", "c", "r", "blue owl", "1 main st", "1"), ("S1-3", "c", "r", "red fox", "2 main st", "2"), ("S1-4", "c", "r", "red fox", "", ""), *[(f"S1-{i}", "c", "r", "culture club", f"{i} elm", str(i)) for i in range(10, 15)])
+    pairs_ = spark.createDataFrame([("S1-1", "a", "red"), ("S1-1", "b", "group"), ("S1-1", "e", "zzz"), ("S1-3", "a", "red")], "s1 string, mid string, c2 string")
+    assert {(r.s1, r.mid): (r.at_address, r.compatible) for r in audit.hub_ambiguity(pairs_, s1).collect()} == {("S1-1", "a"): (2, 1), ("S1-1", "b"): (2, 2), ("S1-1", "e"): (2, 2)}
+    recs = spark.createDataFrame([("S1-1", "m", "2 main st", "2", 0), ("S1-2", "m", "2 main st", "2", 0), ("S1-3", "n", "", "", 1)], "s1 string, mid string, a2 string, h2 string, null2 int")
+    (r,) = audit.name_class(recs, s1).collect()
+    assert (r.s1, r.members, r.best_other) == ("S1-1", 3, 105) and r.own < 100 and r.gap == 105 - r.own
+    assert audit.name_class(recs, s1, most=2).count() == 0
+    pool = rec(spark, ("S2-1", "c", "r", "red cultuere", "1 main st", "1"), ("S2-2", "c", "r", "red foxx", "1 main st", "1"), ("S2-3", "c", "r", "red culture", "1 main st", "1"), ("S2-4", "c", "r", "red cultuere", "9 oak", "9"))
+    text = decide.attach_texts(spark.createDataFrame([("S1-1", f"S2-{i}") for i in range(1, 5)], "s1 string, mid string"), s1, pool)
+    assert [(r.s1, r.mid) for r in audit.typo_swaps(text, s1, 5).collect()] == [("S1-1", "S2-1")]
+    rel = spark.createDataFrame([("red fox", x) for x in ("", "fox red", "red", "red group", "blue owl", "red foxx", "red wolf")], "c1 string, c2 string")
+    assert [r[0] for r in rel.select(audit.name_relation()).collect()] == ["empty", "same", "drop", "drop_noise", "no_shared", "typo", "added"]
+
+
+def test_nearest_words_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abc"), int(rng.integers(4, 9))))
+    words_, voc = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+    got = {r.w: (r.near, r.similarity) for r in audit.nearest_words(spark.createDataFrame([("c", w) for w in words_], "country string, w string"), spark.createDataFrame([("c", w) for w in voc], "country string, t string")).collect()}
+    want = {}
+    for w in words_:
+        best = min(((-kernels.ratio(w, v), v) for v in voc))
+        if best[0] <= -80:
+            want[w] = (best[1], -best[0])
+    assert got == want and len(want) > 20
+
+
+def test_batch_kernels_equal_plain_ones():
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdé"), int(rng.integers(0, 8))))
+    text = lambda: " ".join(word() for _ in range(int(rng.integers(0, 14))))
+    a = [text() for _ in range(600)] + ["", "a", "", "x" * 64, "x" * 65, "ab" * 32]
+    b = [x[: int(rng.integers(0, 30))] + text() for x in a[:600]] + ["", "", "b", "x" * 64, "x" * 64, "ba" * 32]
+    for plain, batch in ((kernels.ratio, kernels.ratios), (kernels.token_sort_ratio, kernels.token_sort_ratios), (kernels.token_set_ratio, kernels.token_set_ratios), (kernels.partial_ratio, kernels.partial_ratios), (kernels.jaro_winkler, kernels.jaro_winklers)):
+        assert batch(a, b).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
 
 
 def test_competition_ties_and_margins(spark):
@@ -127,7 +207,7 @@ def test_siblings_twins_and_rounds(spark):
     recs = rec(spark, ("S2-1", "c", "r", "red fox", "1 main", "1"), ("S2-2", "c", "r", "red fox", "1 main", "1"), ("S2-3", "c", "r", "owl", "9 elm", "9"))
     sc = scored(spark, ("A", "S2-1", 0.9), ("A", "S2-2", 0.5), ("B", "S2-2", 0.4), ("B", "S2-3", 0.3))
     sib = {(r.s1, r.mid): r for r in collective.sibling_support(sc.where("p < 0.75"), sc, recs).collect()}
-    assert (sib["A", "S2-2"].sib_n, sib["A", "S2-2"].sib_name_max, sib["A", "S2-2"].sib_house_n) == (1, 100, 1) and (sib["B", "S2-3"].sib_n, sib["B", "S2-3"].sib_name_max) == (0, -1)
+    assert (sib["A", "S2-2"].sib_n, sib["A", "S2-2"].sib_name_max, sib["A", "S2-2"].sib_house_n) == (1, 100, 1) and (sib["B", "S2-3"].sib_n, sib["B", "S2-3"].sib_name_max, sib["B", "S2-3"].sib_house_n) == (0, -1, -1)
     tw = {(r.s1, r.mid): r for r in collective.twins(sc.withColumnRenamed("p", "q"), recs, 0.75).collect()}
     assert (tw["A", "S2-2"].tw_n, tw["A", "S2-2"].tw_own, tw["B", "S2-2"].tw_oth) == (1, 1, 1)
     prior = spark.createDataFrame([("S2", k, -float(k)) for k in range(15)], "src string, k int, llr double")
@@ -180,7 +260,7 @@ def test_rules(spark):
     assert [r.mid for r in decide.drop_noise_pairs(text).collect()] == ["S2-3"]
     assert [r.mid for r in decide.acronym_pairs(text).collect()] == ["S2-4"]
     sc = scored(spark, ("S1-1", "S2-1", 0.9), ("S1-1", "S2-2", 0.9), ("S1-1", "S2-3", 0.2), ("S1-2", "S2-4", 0.1), ("S1-2", "S2-5", 0.6)).withColumn("country", F.lit("c"))
-    config = decide.Config(0.75, swap_veto=("c",), swap_veto_final=True, add_drop_noise=("c",), add_acronym=("c",), empty_rescue=0.5)
+    config = decide.Config(0.75, swap_veto=("c",), swap_veto_final=decide.EVERYWHERE, add_drop_noise=("c",), add_acronym=("c",), empty_rescue=0.5)
     got = sorted((r.s1, r.mid) for r in decide.decide(sc, s1, pool, config, voc.limit(0), voc).collect())
     assert got == [("S1-1", "S2-2"), ("S1-1", "S2-3"), ("S1-2", "S2-4")]
     rescued = decide.empty_rescue(sc, scored(spark, ("S1-1", "S2-1", 1)), 0.05).collect()
@@ -192,8 +272,12 @@ def test_blends_and_overrides(spark):
     assert {(r.s1, r.mid): round(r.p, 6) for r in decide.blend(a, b).collect()} == {("A", "x"): 0.6, ("A", "y"): 0.2, ("B", "z"): 0.6}
     assert abs(decide.logit_blend(a, b).first().p - 1 / (1 + math.exp(-(math.log(0.4 / 0.6) + math.log(4)) / 2))) < 1e-9
     assert abs(spark.range(1).select(decide.align_threshold(F.lit(0.8), 0.8, 0.7)).first()[0] - 0.7) < 1e-9
-    moved = {(r.s1, r.mid): r.p for r in decide.two_score_rules(a, b.withColumnRenamed("p", "q"), (0.3, 0.7), (0.3, 0.9)).collect()}
+    moved = {(r.s1, r.mid): r.p for r in decide.two_score_rules(a, b.withColumnRenamed("p", "q"), decide.JudgeRules((0.3, 0.7), (0.3, 0.9))).collect()}
     assert moved == {("A", "x"): 0.99, ("A", "y"): 0.2}
+    here = a.withColumn("country", F.lit("US"))
+    vetoed = decide.two_score_rules(here, b.withColumnRenamed("p", "q"), decide.JudgeRules((0.3, 0.7), (0.5, 0.8), ("US",)))
+    assert {(r.s1, r.mid): r.p for r in vetoed.collect()} == {("A", "x"): 0.0, ("A", "y"): 0.2}
+    assert decide.two_score_rules(here, b.withColumnRenamed("p", "q"), decide.JudgeRules((0.3, 0.7), (0.5, 0.8), ("IN",))).where("p = 0.4").count() == 1
 
 
 # Evaluation.
