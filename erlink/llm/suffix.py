@@ -2,16 +2,18 @@
 
 Only the first ``length`` bytes of suffixes matter here, so the difference-cover algorithm runs to that depth:
 
-1. Suffixes at the places of a difference cover modulo 133 are sampled. Any two places have a common distance below 133 at
-   which both are sampled, so two equal 200-byte strings contain equal samples of 68 bytes. Samples are named (by a
+1. Suffixes at the places of a difference cover modulo 57 are sampled. Any two places have a common distance below 57 at
+   which both are sampled, so two equal 200-byte strings contain equal samples of 144 bytes. Samples are named (by a
    fingerprint of their bytes), sorted, and those whose name is unique drop out.
 2. The remaining suffixes, sampled or not, that a tied sample can reach are named to full depth, sorted and merged.
 3. Those whose name is found in two places are named once more, by polynomials modulo a prime that have nothing to do with
    the first names. Places that have company under both names are the repeats; what they cover is removed.
 
-Texts travel as packs of about 1 MB. Names travel as sorted arrays, one for each pack and name range, with inner duplicates
-taken out first, so that a passage in a third of all documents adds one entry a pack to one range. Ranges are about as many
-as the input has blocks of 6 MB. What comes back is one bit a name.
+Texts travel once, as packs of about 1 MB, to the partitions in which all later steps find them; a longer text is cut into
+pieces that overlap by length - 1 bytes, so that every string starts in one piece. Names travel as sorted arrays, one for
+each pack and name range, with inner duplicates taken out first, so that a passage in a third of all documents adds one entry
+a pack to one range. Ranges are about as many as the input has blocks of 6 MB. What comes back is one bit a name, and one bit
+a byte tells the next step which places are left.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, settled
 
-#: A perfect difference set modulo 133, every non-zero residue is the difference of exactly one pair.
-COVER_MOD = 133
-COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
+#: A perfect difference set modulo 57, every non-zero residue is the difference of exactly one pair.
+COVER_MOD = 57
+COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+#: Bits of first names up to some 100 GB; more for more (see remove_repeats).
+FIRST_BITS, SECOND_BITS = 50, 61
 
 _BASE = 0x9E3779B97F4A7C15  # 5 modulo 8
 _BYTES = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=np.uint64)
@@ -57,6 +61,11 @@ def _prime_powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number of the same remainder modulo 2**31 - 1: below 2**32 + 2**31 for any x, at most 2**31 from there."""
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(31))
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
@@ -85,14 +94,15 @@ class Pack:
     def second_names(self, at: np.ndarray, width: int) -> np.ndarray:
         """Fingerprints that are independent of ``names``: the windows as polynomials at two points modulo a prime, 62 bits, mixed."""
         h = np.zeros(len(at), np.uint64)
-        n = len(self.data)
+        n, size = len(self.data), len(self.up)
+        signs = self.data.astype(np.uint64) + np.uint64(1)
         for base in _POINTS:
-            size = len(self.up)
             up, down = _prime_powers(size, base), _prime_powers(size, pow(base, -1, _PRIME))
             sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n] % np.uint64(_PRIME), out=sums[1:])
+            np.cumsum(_folded(signs * up[:n]), out=sums[1:])
             h <<= np.uint64(31)
-            h |= (sums[at + width] - sums[at]) % np.uint64(_PRIME) * down[at] % np.uint64(_PRIME)
+            value = _folded(_folded(_folded(sums[at + width] - sums[at]) * down[at]))
+            h |= np.where(value >= _PRIME, value - np.uint64(_PRIME), value)
         return _mixed(h)
 
     def sampled(self, length: int) -> np.ndarray:
@@ -159,8 +169,22 @@ class Names:
         return out
 
 
+def _places(places: np.ndarray, n: int) -> bytes:
+    """Places among n bytes, as a compressed bit a byte."""
+    mask = np.zeros(n, np.uint8)
+    mask[places] = 1
+    return pa.Codec("zstd", compression_level=1).compress(np.packbits(mask).tobytes(), asbytes=True)
+
+
+def _places_of(blob: bytes, n: int) -> np.ndarray:
+    bits = pa.Codec("zstd").decompress(blob, -(-n // 8), asbytes=True)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+
+
 def _match(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one range: for each pack the bits of names that another pack has too."""
+    """Of one range: for each pack the bits of names that another pack has too. Places that a step keeps pass as they are."""
+    if group["part"].iloc[0] < 0:
+        return pd.DataFrame({"pack": group["pack"], "part": -1, "bits": group["names"]})
     sizes = group["n"].tolist()
     values = np.empty(sum(sizes), np.uint64)
     at = 0
@@ -183,32 +207,97 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pack": np.array(packs, np.int64), "part": int(group["part"].iloc[0]), "bits": bits})
 
 
-def _pack_up(size: int, kind: pa.DataType) -> object:
+_PACK = ["pack", "ids", "rows", "pieces", "own", "lengths", "data"]
+
+
+def _pack_up(size: int, overlap: int, kind: pa.DataType) -> Callable:
+    """Texts as packs of about ``size`` bytes: ids, row numbers, number of the piece (from 0; -1: a whole text), bytes of its own, and all its bytes."""
+    types = [pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lengths, parts, total, number = [], [], [], 0, TaskContext.get().partitionId() << 32
+        entries: list[tuple] = []
+        parts, total = [], 0
+        number = row = TaskContext.get().partitionId() << 32
         codec = pa.Codec("zstd", compression_level=3)
 
         def flush() -> pa.RecordBatch:
-            data = b"".join(parts)
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(kind)), pa.array([lengths], pa.list_(pa.int64())), pa.array([codec.compress(data, asbytes=True)], pa.binary())], ["pack", "ids", "lengths", "data"])
+            nonlocal entries, parts, total, number
+            number += 1
+            columns = [number, *map(list, zip(*entries, strict=True)), codec.compress(b"".join(parts), asbytes=True)]
+            entries, parts, total = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, types, strict=True)], _PACK)
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if parts and total + len(raw) > size:
+                raw = text.as_buffer() if text.is_valid else pa.py_buffer(b"")
+                row += 1
+                if entries and total + raw.size > size:
+                    yield flush()
+                if raw.size <= size:
+                    entries.append((i, row, -1, raw.size, raw.size))
+                    parts.append(raw.to_pybytes())
+                    total += raw.size
+                    continue
+                for k, a in enumerate(range(0, raw.size, size)):
+                    own = min(size, raw.size - a)
+                    piece = raw.slice(a, min(own + overlap, raw.size - a)).to_pybytes()
+                    entries.append((i, row, k, own, len(piece)))
+                    parts.append(piece)
                     yield flush()
-                    number += 1
-                    ids, lengths, parts, total = [], [], [], 0
-                ids.append(i)
-                lengths.append(len(raw))
-                parts.append(raw)
-                total += len(raw)
-        if parts:
+        if entries:
             yield flush()
 
     return run
 
 
+def _joined(texts: bool) -> Callable:
+    """Of pieces in order (id, row, piece, body, mask) the rows of whole texts; one piece is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, i, state = None, None, None
+        rows: list[tuple] = []
+
+        def closed() -> tuple:
+            n, removed, spans, digest, kept = state["n"], state["removed"], state["spans"], state["sha"].hexdigest(), b"".join(state["kept"])
+            return (i, n, removed, spans, digest, *([kept] if texts else []))
+
+        def out(names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field("id").type, pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.binary()] if texts else [])]
+            for k in range(batch.num_rows):
+                row = batch.column("row")[k].as_py()
+                if row != last:
+                    if last is not None:
+                        rows.append(closed())
+                    last, i = row, batch.column("id")[k].as_py()
+                    state = {"n": 0, "removed": 0, "spans": 0, "sha": hashlib.sha256(), "kept": [], "gone": 0, "carry": np.zeros(0, bool)}
+                body = np.frombuffer(batch.column("body")[k].as_buffer(), np.uint8)
+                mask = np.unpackbits(np.frombuffer(batch.column("mask")[k].as_buffer(), np.uint8)).astype(bool)
+                mask[: len(state["carry"])] |= state["carry"]
+                own = mask[: len(body)]
+                state["carry"] = mask[len(body) :][: batch.column("more")[k].as_py()]
+                kept = body[~own].tobytes()
+                state["n"] += len(body)
+                state["removed"] += int(own.sum())
+                state["spans"] += int((np.diff(own.astype(np.int8), prepend=np.int8(state["gone"])) == 1).sum())
+                state["gone"] = int(own[-1])
+                state["sha"].update(kept)
+                if texts:
+                    state["kept"].append(kept)
+            if rows:
+                yield out(names, types)
+                rows = []
+        if last is not None:
+            rows.append(closed())
+            yield out(names, types)
+
+    return run
+
+
 def _open(data: bytes, lengths: np.ndarray) -> Pack:
     lengths = np.asarray(lengths, np.int64)
     n = int(lengths.sum())
@@ -219,34 +308,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for each row.
 
     A byte goes if a ``length``-byte string over it also starts anywhere else in the input, in the same text or another.
-    Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows are repeats of each other. With ``texts``
-    the remaining bytes come as ``kept`` (binary: a cut may fall inside a character). Other columns are not read.
+    Null texts are empty; texts shorter than ``length`` lose nothing; repeated rows are repeats of each other; an empty table
+    gives none. With ``texts`` the remaining bytes come as ``kept`` (binary: a cut may fall inside a character). Other columns
+    are not read. Texts of any length are looked at in pieces of ``pack_bytes``.
+
+    First names have 50 bits, or as many more (61 at most) as keep n**3 / 2**(first + second bits) below a thousandth for n
+    bytes; so many false repeats are expected where nothing repeats by chance.
     """
     if length <= COVER_MOD:
         raise ValueError(f"length must be over {COVER_MOD}")
-    kind = docs.schema[id_col].dataType
+    kind = docs.schema[id_col].dataType.simpleString()
     arrow = docs.select(id_col).limit(0).toArrow().schema.field(0).type
-    packs = materialize(docs.select(id_col, text_col).mapInArrow(_pack_up(pack_bytes, arrow), f"pack long, ids array<{kind.simpleString()}>, lengths array<long>, data binary"), "packs")
-    total = packs.agg(F.sum(F.expr("aggregate(lengths, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    packed = docs.select(id_col, text_col).mapInArrow(_pack_up(pack_bytes, length - 1, arrow), f"pack long, ids array<{kind}>, rows array<long>, pieces array<int>, own array<long>, lengths array<long>, data binary")
+    packs = settled(packed, "pack", total // (16 * pack_bytes))
     ranges = int(min(1 << 24, max(4, total // range_bytes)))
     sample = length - COVER_MOD + 1
-    sample_bits = min(60, max(32, int(total * len(COVER) // COVER_MOD + 1).bit_length() + 12))  # one false tie in 4,096 at most
+    size = (total + 1).bit_length()
+    sample_bits = min(60, max(32, size + 10))  # one false tie in 4,096 or so
+    first_bits = min(61, max(FIRST_BITS, 3 * size + 10 - SECOND_BITS))
 
     def sample_names(pack: Pack) -> tuple[np.ndarray, Names]:
         at = pack.sampled(length)
         return at, Names(pack.names(at, sample), ranges, sample_bits)
 
-    def deep_names(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
+    def ties(names: Names, answers: pd.DataFrame) -> np.ndarray:
+        own = answers[answers["part"] >= 0]
+        return names.shared(zip(own["part"], own["bits"], strict=True))
+
+    def kept_places(pack: Pack, answers: pd.DataFrame) -> np.ndarray:
+        return _places_of(answers.loc[answers["part"] < 0, "bits"].iloc[0], len(pack.data))
+
+    def reached(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
         at, names = sample_names(pack)
-        own = answers[answers["step"] == 1]
-        places = pack.reachable(at[names.shared(zip(own["part"], own["bits"], strict=True))], length)
-        return places, Names(pack.names(places, length), ranges, 61)
+        places = pack.reachable(at[ties(names, answers)], length)
+        return places, Names(pack.names(places, length), ranges, first_bits)
+
+    def confirmed(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
+        places = kept_places(pack, answers)
+        places = places[ties(Names(pack.names(places, length), ranges, first_bits), answers)]
+        return places, Names(pack.second_names(places, length), ranges, SECOND_BITS)
 
-    def last_names(pack: Pack, answers: pd.DataFrame) -> tuple[np.ndarray, Names]:
-        places, names = deep_names(pack, answers)
-        own = answers[answers["step"] == 2]
-        places = places[names.shared(zip(own["part"], own["bits"], strict=True))]
-        return places, Names(pack.second_names(places, length), ranges, 61)
+    def repeated(pack: Pack, answers: pd.DataFrame) -> np.ndarray:
+        places = kept_places(pack, answers)
+        return places[ties(Names(pack.second_names(places, length), ranges, SECOND_BITS), answers)]
 
     def send_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,12 +359,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 blobs = list(sample_names(_open(data, lengths))[1].blobs())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in blobs], pa.int32()), pa.array([pack] * len(blobs), pa.int64()), pa.array([n for _, n, _ in blobs], pa.int32()), pa.array([b for _, _, b in blobs], pa.binary())], ["part", "pack", "n", "names"])
 
-    def send(named: Callable) -> Callable:
+    def send(named: Callable, left: bool) -> Callable:
+        """Names of the places that are left, and these places themselves, for the next step; ``left``: the last step has said which."""
+
         def run(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
             out = []
             for row in packed.itertuples():
-                if len(answers):
-                    out += [(k, row.pack, n, b) for k, n, b in named(_open(row.data, row.lengths), answers)[1].blobs()]
+                if not left or (answers["part"] < 0).any():
+                    pack = _open(row.data, row.lengths)
+                    places, names = named(pack, answers)
+                    if len(places):
+                        out += [(k, row.pack, n, b) for k, n, b in names.blobs()]
+                        out.append((-1 - row.pack % ranges, row.pack, len(places), _places(places, len(pack.data))))
             return pd.DataFrame(out, columns=["part", "pack", "n", "names"])
 
         return run
@@ -268,27 +379,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows: list[tuple] = []
         for row in packed.itertuples():
             pack = _open(row.data, row.lengths)
-            places, names = last_names(pack, answers)
-            own = answers[answers["step"] == 3]
-            repeats = places[names.shared(zip(own["part"], own["bits"], strict=True))]
             marks = np.zeros(len(pack.data) + 1, np.int32)
-            np.add.at(marks, repeats, 1)
-            np.add.at(marks, repeats + length, -1)
+            if (answers["part"] < 0).any():
+                repeats = repeated(pack, answers)
+                np.add.at(marks, repeats, 1)
+                np.add.at(marks, repeats + length, -1)
             gone = np.cumsum(marks[:-1], dtype=np.int32) > 0
-            for i, a, b in zip(row.ids, pack.starts, pack.ends, strict=True):
+            for i, place, piece, own, a, b in zip(row.ids, row.rows, row.pieces, row.own, pack.starts, pack.ends, strict=True):
                 mask = gone[a:b]
-                kept = pack.data[a:b][~mask].tobytes()
-                rows.append((i, b - a, int(mask.sum()), int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
-        return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])])
-
-    blob = "part int, pack long, n int, names binary"
-    answer = "pack long, part int, bits binary"
-    first = packs.select("pack", "lengths", "data").mapInArrow(send_samples, blob).groupBy("part").applyInPandas(_match, answer)
-    tied = materialize(first.withColumn("step", F.lit(1)), "tied")
-    second = packs.groupBy("pack").cogroup(tied.groupBy("pack")).applyInPandas(send(deep_names), blob).groupBy("part").applyInPandas(_match, answer)
-    found = tied.unionByName(materialize(second.withColumn("step", F.lit(2)), "found"))
-    third = packs.groupBy("pack").cogroup(found.groupBy("pack")).applyInPandas(send(last_names), blob).groupBy("part").applyInPandas(_match, answer)
-    equal = third.withColumn("step", F.lit(3))
-    schema = f"id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    out = packs.groupBy("pack").cogroup(found.unionByName(equal).groupBy("pack")).applyInPandas(cut, schema)
-    return out.withColumnRenamed("id", id_col)
+                if piece < 0:
+                    kept = pack.data[a:b][~mask].tobytes()
+                    spans = int((np.diff(mask.astype(np.int8), prepend=0) == 1).sum())
+                    rows.append((i, place, piece, b - a, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None, None, None, 0))
+                else:
+                    rows.append((i, place, piece, 0, 0, 0, "", None, pack.data[a : a + own].tobytes(), np.packbits(mask).tobytes(), b - a - own))
+        return pd.DataFrame(rows, columns=["id", "row", "piece", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "body", "mask", "more"])
+
+    blob, answer = "part int, pack long, n int, names binary", "pack long, part int, bits binary"
+
+    def ask(names: DataFrame, name: str) -> DataFrame:
+        return materialize(names.groupBy("part").applyInPandas(_match, answer), name)
+
+    def follow(work: Callable, answers: DataFrame, schema: str) -> DataFrame:
+        return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(work, schema)
+
+    tied = ask(packs.select("pack", "lengths", "data").mapInArrow(send_samples, blob), "tied")
+    found = ask(follow(send(reached, False), tied, blob), "found")
+    equal = ask(follow(send(confirmed, True), found, blob), "equal")
+    results = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
+    done = materialize(follow(cut, equal, f"id {kind}, row long, piece int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, body binary, mask binary, more long"), "cut")
+    whole = done.where("piece < 0").select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else []))
+    pieces = done.where("piece >= 0").repartition("row").sortWithinPartitions("row", "piece").select("id", "row", "body", "mask", "more")
+    return whole.unionByName(pieces.mapInArrow(_joined(texts), results)).withColumnRenamed("id", id_col)
