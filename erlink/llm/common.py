@@ -27,7 +27,12 @@ def settled(df: DataFrame, key: str, partitions: int) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     n = max(int(partitions), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key).sortWithinPartitions(key).checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan does not tell how its result is partitioned
+    try:
+        return df.repartition(n, key).sortWithinPartitions(key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
