@@ -132,7 +132,7 @@ def test_embeddings_against_brute_force(spark):
     rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(vecs)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] + [1.0] * 15, 1), (503, [1.0] * 16, None), (504, [None] + [1.0] * 15, 1), (505, [float("inf")] + [1.0] * 15, 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit(1)).withColumn("pivot", F.lit("a"))
-    got = {r.vec_id: r for r in pivots.near_duplicates(df, references=24, nearest=12, shared=2, tile=16).collect()}
+    got = {r.vec_id: r for r in pivots.near_duplicates(df, references=24, nearest=12, lead=8, shared=2, tile=16).collect()}
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     pairs = [(i, j) for i in range(len(vecs)) for j in range(i) if i % 3 == j % 3 and unit[i] @ unit[j] >= 0.98]
     links = Counter(x for p in pairs for x in p)
@@ -152,6 +152,14 @@ def test_embedding_copies_count_each_other(spark):
     assert got == {i: (8, 0, i == 0) for i in range(9)} | {20: (0, 20, True)}
 
 
+def test_embeddings_of_any_length_and_size(spark):
+    rows = [(1, [1.0, 1.0, 1.0], 1), (2, [1.0, 1.0, 1.001], 1), *[(10 + i, [float(i + 1), 1.0, 0.0, float(-i)], 1) for i in range(6)]]
+    rows += [(30, [1e200, 1e200], 1), (31, [1e200, 1.0001e200], 1), (32, [1e-200, 1e-200], 1), (33, [1e-200, 1e-201], 1), (34, [1e-320, 1e-320], 1), (35, [1.0, 1.0], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got[1] == (1, 1) and got[2] == (1, 1)
+    assert [got[i] for i in (30, 31, 32, 34)] == [(3, 30)] * 4 and got[33] == (0, 33) and got[35] == (0, 35)
+
+
 def test_embeddings_with_a_third_in_one_group(spark):
     rng = np.random.default_rng(6)
     vecs = rng.normal(size=(2400, 64))
