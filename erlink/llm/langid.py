@@ -67,22 +67,34 @@ def _blocks(texts: list[str], size: int = 500_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def _training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, most_languages: int = 10_000) -> DataFrame:
-    labelled = docs.where(f"`{text_col}` IS NOT NULL AND `{label_col}` IS NOT NULL AND crc32(CAST(`{id_col}` AS STRING)) % 4 <> 2")
-    sizes = labelled.groupBy(F.col(label_col).alias("_label")).agg(F.count("*").alias("_n")).limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} labels")
-    rates = docs.sparkSession.createDataFrame([(r["_label"], min(1.0, per_language / r["_n"])) for r in sizes], "_label string, _rate double")
+def _labelled(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    return docs.where(f"`{text_col}` IS NOT NULL AND `{label_col}` IS NOT NULL AND crc32(CAST(`{id_col}` AS STRING)) % 4 <> 2")
+
+
+def _training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int) -> DataFrame:
+    labelled = _labelled(docs, id_col, text_col, label_col)
+    rates = labelled.groupBy(F.col(label_col).alias("_label")).agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("_rate"))
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"), chance.alias("_chance")).join(F.broadcast(rates), "_label").where("_chance < _rate").select("_label", "_text")
+    return labelled.select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"), chance.alias("_chance")).join(rates, "_label").where("_chance < _rate").select("_label", "_text")
+
+
+#: Most bytes of the broadcast matrix.
+MATRIX_BYTES = 768 << 20
+
+
+def slot_bits(languages: int, bits: int) -> int:
+    """``bits``, or fewer where the matrix of that many languages would be larger than MATRIX_BYTES."""
+    return min(bits, max(4, (MATRIX_BYTES // (8 * len(ORDERS) * max(1, languages))).bit_length() - 1))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 2000, bits: int = 16, alpha: float = 0.1) -> Model:
     """Fit on about ``per_language`` whole texts of each language, chosen by a hash of the id (the documented bound).
 
-    Rows with null text, null label, or an id whose crc32 modulo 4 is 2 are never used. Only sums reach the driver:
-    at most languages x orders x 2**bits rows. With no usable row the model has no language and everything is ``und``.
+    Rows with null text, null label, or an id whose crc32 modulo 4 is 2 are never used; repeated rows count as often as they
+    are chosen. Only sums reach the driver, languages x orders x 2**bits at most; from 489 languages on, slots get fewer so
+    that these stay within MATRIX_BYTES. With no usable row the model has no language and everything is ``und``.
     """
+    bits = slot_bits(_labelled(docs, id_col, text_col, label_col).select(label_col).distinct().count(), bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -115,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         return Model((), priors, counts, bits)
     logs = np.log(counts + alpha) - np.log((counts + alpha).sum(2, keepdims=True))
     logs -= logs.mean(0, keepdims=True)
-    logs[:, :, counts.sum((0, 1)) == 0] = 0  # slots nobody has seen say nothing
+    logs[:, counts.sum(0) == 0] = 0  # slots of an order that nobody has seen say nothing
     return Model(names, np.log(priors / priors.sum()), np.ascontiguousarray(logs), bits)
 
 
