@@ -35,7 +35,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(read(spark, sf_dir, "documents", "doc_id", "text"), secrets.train())
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return secrets.find(docs, secrets.train(secrets.corpus_findings(docs)))
 
 
 def list_entries(pages: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Language ID, secrets and byte-level BPE: row-wise maps over whole texts."""
 
 import hashlib
+import math
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -123,6 +126,54 @@ def test_langid_never_learns_from_held_out_rows(spark):
     assert held.count() > 3 and langid.train(held).languages == ()
 
 
+def _slow_model(rows, alpha=0.1):
+    """Naive Bayes gram by gram: languages, and the posterior of each for a text."""
+
+    def grams(text):
+        folded = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 32 for c in text]
+        line, out = [32, *folded, 32, 32], []
+        for i in range(len(folded) + 1):
+            h = 0
+            for k in range(3):
+                h = (h * 31 + line[i + k] * langid.MULTIPLIERS[k]) % 2**32
+                out.append((k, (h * 0x27D4EB2F) % 2**32 >> 16))
+        return out
+
+    counts, docs = {}, {}
+    for lang, text in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        for g in grams(text):
+            counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    seen = {g for c in counts.values() for g in c}
+    total = {(lang, k): sum(n for (o, _), n in c.items() if o == k) + alpha * 2**16 for lang, c in counts.items() for k in range(3)}
+
+    def posterior(text):
+        z = {lang: math.log(n / sum(docs.values())) + sum(math.log((counts[lang].get(g, 0) + alpha) / total[lang, g[0]]) for g in grams(text) if g in seen) for lang, n in docs.items()}
+        # a slot nobody has seen is worth the mean over languages in every language, as all weights are taken from that mean
+        top = max(z.values())
+        p = {lang: math.exp(v - top) for lang, v in z.items()}
+        return max(sorted(p), key=p.get), max(p.values()) / sum(p.values())
+
+    return posterior
+
+
+def test_langid_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs, per_language=10_000)
+    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL AND crc32(cast(doc_id as string)) % 4 <> 2").collect()
+    slow = _slow_model([(r.lang, r.text) for r in rows])
+    texts = [r.text[:300] for r in docs.where("crc32(cast(doc_id as string)) % 4 = 2").limit(25).collect()] + ["ab", "x y", "the ü"]
+    best, sure = langid.score(model, texts)
+    for t, b, p in zip(texts, best, sure, strict=True):
+        want, chance = slow(t)
+        assert b == want and abs(p - chance) < 1e-6
+
+
+def test_langid_matrix_is_bounded():
+    assert langid.slot_bits(4, 16) == 16 and langid.slot_bits(100_000, 16) == 8
+    assert all(8 * 3 * n << langid.slot_bits(n, 16) <= langid.MATRIX_BYTES for n in (1, 488, 513, 5000, 10**6))
+
+
 NET = secrets.train()
 
 
@@ -165,9 +216,46 @@ def test_secret_windows_cover_long_candidates():
     assert len(pieces) == 6 and all(len(p) <= secrets.WIDTH for p in pieces)
 
 
-def test_secret_scan_leaves_the_corpus_alone(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    assert secrets.find(docs, NET).selectExpr("sum(n_model)").first()[0] == 0
+def test_secret_network_on_held_out_findings_of_a_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    net = secrets.train(secrets.corpus_findings(docs))
+    held = secrets.corpus_findings(docs, held_out=True)
+    p, y = net.probability(secrets.encode([x for x, _ in held])), np.array([v for _, v in held])
+    assert y.sum() > 30 and (~y).sum() > 300
+    assert (p[y] >= net.threshold).mean() > 0.93 and (p[~y] >= net.threshold).mean() < 0.01
+    assert not any("token" in x for x, v in held if v)
+
+
+def test_secret_base_spans_of_a_corpus_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.find(docs, NET).collect()}
+    for r in docs.collect():
+        assign = [m.span() for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r.text or "") if len(m.group(1)) >= 8]
+        access = [m.span() for m in re.finditer("AKIA[A-Z0-9]+", r.text or "") if len(m.group()) >= 16]
+        hexes = [m.span() for m in re.finditer("[0-9a-f]+", r.text or "") if len(m.group()) >= 32]
+        spans = sorted([(a, k, b) for k, found in enumerate((assign, access, hexes)) for a, b in found])
+        digest = hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        assert got[r.doc_id] == (len(assign), len(access), len(hexes), digest)
+
+
+def test_secret_candidates_against_brute_force():
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["token=abcdefgh1", "AKIA" + "Z" * 14, "0a" * 17, "x" * 9, "Qr7", " ", ".", "-_="]) for _ in range(rnd.randint(1, 25)))
+        base = secrets.base_spans(text)
+        covered = {i for _, a, b in base for i in range(a, b)}
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            free = [i for i in range(m.start(), m.end()) if i not in covered]
+            want += [(i, next(j for j in range(i, m.end() + 1) if j == m.end() or j in covered)) for i in free if i == m.start() or i - 1 in covered]
+        assert secrets.candidates(text, base) == want
+        assert secrets.hidden(text, base) == "".join(" " if i in covered else c for i, c in enumerate(text))
+
+
+def test_secret_scan_of_a_very_long_text_is_linear():
+    began = time.time()
+    ((base, _, scores),) = secrets.scan(['token="abcdefgh" and more words ' * 20_000], NET)
+    assert len(base) == len(scores) == 20_000 and time.time() - began < 20
 
 
 def test_secret_beside_a_base_finding_and_without_digits(spark):
