@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets in its text replaced by a mark."""
     small_batches(spark)
-    return secrets.redact(docs.select(*COLUMNS), secrets.train())
+    net = secrets.train(secrets.corpus_findings(docs))
+    return secrets.redact(docs.select(*COLUMNS), net)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
