@@ -27,19 +27,25 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     """All columns of ``captures`` and ``host``, ``rule``, ``action``, ``allowed`` (columns of these names are replaced).
 
     A capture is held against the entries for its host and each parent domain that were active at its time; the longest
-    pattern decides. Without one it is allowed, so are null URLs and null times. Every row comes out once, repeated or not.
-    The join is on the pattern, with the interval as a further condition, so that only a host's own entries are read; hot
-    hosts are split by the engine's skew handling.
+    pattern decides. Without one it is allowed, so are null URLs and null times. Every row comes out once, repeated or not;
+    an empty table gives none, an empty list allows all.
+
+    Captures are reduced to distinct hosts and times, these to distinct names and times, and those meet the list, with the
+    interval as a further condition of the join on the pattern. So a top-level domain costs a row a time, however many
+    captures it has, and captures themselves move once, to meet their host's decision; hot hosts are split by the engine's
+    skew handling.
     """
     columns = [c for c in captures.columns if c not in ("host", "rule", "action", "allowed")]
-    rows = captures.select(F.struct(*columns).alias("_all"), F.monotonically_increasing_id().alias("_row"), host(F.col(url_col)).alias("_host"), F.col(time_col).alias("_at"))
+    rows = captures.select(*columns).withColumn("host", host(F.col(url_col)))
+    hosts = rows.where(F.col("host") != "").select(F.col("host").alias("_host"), F.col(time_col).alias("_at")).where("_at IS NOT NULL").distinct()
     labels = F.split("_host", r"\.")
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = rows.select("_row", "_at", F.explode(names).alias("_name")).where("_name <> '' AND _at IS NOT NULL")
+    probes = hosts.select("_host", "_at", F.explode(names).alias("_name")).where("_name <> ''")
     active = intervals(entries)
-    hits = probes.join(active, (F.col("_name") == F.col("pattern")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    parts = hits.select("_row", F.struct(F.char_length("pattern").alias("n"), F.col("pattern"), F.col("action")).alias("hit"), F.lit(None).cast(rows.schema["_all"].dataType).alias("_all"), F.lit(None).cast("string").alias("_host"))
-    every = parts.unionByName(rows.select("_row", F.lit(None).cast(parts.schema["hit"].dataType).alias("hit"), "_all", "_host"))
-    best = every.groupBy("_row").agg(F.max("hit").alias("hit"), F.first("_all", ignorenulls=True).alias("_all"), F.first("_host", ignorenulls=True).alias("host"))
-    action = F.coalesce(F.col("hit.action"), F.lit("allow"))
-    return best.select("_all.*", "host", F.col("hit.pattern").alias("rule"), action.alias("action"), (action != "block").alias("allowed"))
+    asked = probes.select("_name", "_at").distinct().join(active.select(F.col("pattern").alias("_name")).distinct(), "_name", "left_semi")
+    hits = asked.join(active, (F.col("_name") == F.col("pattern")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
+    hits = hits.select("_name", "_at", F.struct(F.char_length("pattern").alias("n"), F.col("pattern"), F.col("action")).alias("hit"))
+    decided = probes.join(hits, ["_name", "_at"]).groupBy("_host", "_at").agg(F.max("hit").alias("_hit"))
+    out = rows.join(decided, (F.col("host") == F.col("_host")) & (F.col(time_col) == F.col("_at")), "left")
+    action = F.coalesce(F.col("_hit.action"), F.lit("allow"))
+    return out.select(*columns, "host", F.col("_hit.pattern").alias("rule"), action.alias("action"), (action != "block").alias("allowed"))
