@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
@@ -246,6 +248,12 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 520_000):
         self.fst = Transducer(ranks)
         self.pattern = regex.compile(pattern)
+        #: This pattern begins a pre-token at every space before another character; texts of others are not cut first.
+        self.spaced = pattern == public_tokenizers.PATTERN
+        newer = newer_characters()
+        #: Such characters are neither letters nor numbers: another of that kind stands for them while texts are split.
+        self.newer = regex.compile(f"[{regex.escape(newer)}]") if newer else None
+        self.stand_in = dict.fromkeys(map(ord, newer), "\ue000")
         self.cut = regex.compile(f" (?=[^{WHITE}])")
         self.odd = regex.compile(f" (?:[{WHITE}]|\\Z)")
         self.max_memo = max_memo
@@ -266,8 +274,9 @@ class Codec:
     def _pieces(self, text: str) -> str:
         """Ids of all pre-tokens of a text, by a small memo."""
         out = []
-        for m in self.pattern.finditer(text):
-            piece = m[0]
+        shown = text if text.isascii() or not self.newer or not self.newer.search(text) else text.translate(self.stand_in)
+        for m in self.pattern.finditer(shown):
+            piece = m[0] if shown is text else text[m.start() : m.end()]
             found = self.pieces.get(piece)
             if found is None:
                 found = self._ids(piece)
@@ -294,9 +303,11 @@ class Codec:
         return found
 
     def joined(self, text: str) -> str:
-        """Decimal ids of a text, comma-joined. A space before a non-space always starts a pre-token, so texts are cut there."""
+        """Decimal ids of a text, comma-joined. Where a space before a non-space always starts a pre-token, texts are cut there."""
         if not text:
             return ""
+        if not self.spaced:
+            return self._pieces(text)
         if len(self.rest) > self.max_memo:  # entries come back from the older generation when met again
             self.older, self.rest = self.rest, {}
         chunks = self.cut.split(text) if self.odd.search(text) else text.split(" ")
@@ -334,6 +345,26 @@ class Codec:
         return self.decode(list(map(int, tokens))) if None in texts else "".join(texts)
 
 
+def newer_characters() -> str:
+    """Letters and numbers of this Unicode version that the reference library's version, which may be older, does not know.
+
+    The library is asked which of them its own classes match. Where it is not installed there are none.
+    """
+    try:
+        import tiktoken
+    except ModuleNotFoundError:
+        return ""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    single = {bytes([i]): i for i in range(256)}
+    out = []
+    for kind in (r"\p{L}", r"\p{N}"):
+        ours = regex.findall(kind, every)
+        library = tiktoken.Encoding(f"class {kind}", pat_str=kind, mergeable_ranks=single, special_tokens={})
+        known = set(bytes(library.encode_ordinary("".join(ours))).decode())
+        out += [c for c in ours if c not in known]
+    return "".join(out)
+
+
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -371,7 +402,10 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Documents whose text is what decoding its ids gives, with the number of tokens as ``n_tokens`` (replaced if there); all columns stay."""
+    """Documents whose text is what decoding its ids gives, with the number of tokens as ``n_tokens`` (replaced if there); all columns stay.
+
+    Null texts stay null and have no tokens, empty ones none; rows come out as often as they go in, an empty table gives none.
+    """
     docs = docs.drop("n_tokens")
     names = docs.columns
 

@@ -58,6 +58,20 @@ def test_bpe_long_runs_and_memo_generations():
         assert small.encode(text) == TIKTOKEN.encode_ordinary(text)
 
 
+def test_bpe_of_characters_newer_than_the_library():
+    newer = bpe.newer_characters()
+    for c in [*newer[:: max(1, len(newer) // 50)], "\U0003f41b", "\u0558"]:
+        for text in (f"{c}i", f"a{c} {c}{c}b 1{c}2", f"é{c}"):
+            assert CODEC.encode(text) == TIKTOKEN.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("pattern", [r"\s+|\S+", r"[ab]+ |[\s\S]", public_tokenizers.PATTERN])
+def test_bpe_of_any_pattern(pattern):
+    other, own = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=CODEC.fst.ranks, special_tokens={}), bpe.Codec(CODEC.fst.ranks, pattern)
+    for text in ("ab ab  the end, of\n it ", " ", "ba a b"):
+        assert own.encode(text) == other.encode_ordinary(text)
+
+
 def test_utf8_machine_at_every_cut():
     data = "aé漢😀b".encode()
     for i in range(len(data) + 1):
