@@ -36,7 +36,11 @@ def settled(df: DataFrame, key: str, partitions: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let at most ``rows`` rows go to a Python worker at a time: texts are long, and a batch is in memory on both sides."""
+    """Let at most ``rows`` rows go to a Python worker at a time: texts are long, and a batch is in memory on both sides.
+
+    The bound on a batch's bytes is the engine's own, spark.sql.execution.arrow.maxBytesPerBatch (64 MB by default). The
+    setting stays, as DataFrames are computed later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

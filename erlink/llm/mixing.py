@@ -135,7 +135,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs``, a stored table, as often as :func:`mix` takes them."""
+    """The rows of ``docs``, a stored table, as often as :func:`mix` takes them, all columns as they were.
+
+    Null texts have no words and are taken by their source's ratio of words like others; an empty table gives none.
+    """
     taken = mix(docs, **options).where("copies > 0").select("_row", "copies")
     placed = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     return placed.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_doc.*")

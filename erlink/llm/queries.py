@@ -15,6 +15,7 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``embeddings`` with its links; unusable vectors and null labels have none."""
     return pivots.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
@@ -28,6 +29,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its predicted language; null and letterless texts give ``und``."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = langid.train(docs)
     held = F.expr("crc32(CAST(doc_id AS STRING)) % 4 = 2")
@@ -35,6 +37,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its findings; a null text has none."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return secrets.find(docs, secrets.train(secrets.corpus_findings(docs)))
 
@@ -52,6 +55,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` as a capture of some day, held against a dated list; null URLs are allowed."""
     pages = read(spark, sf_dir, "pages", "page_id", "url")
     captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")))
     return urls.evaluate(captures, list_entries(pages))
@@ -78,15 +82,18 @@ SELECT page_id, url, fetched_on, host, rule, coalesce(action, 'allow') AS action
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its size, its source's target and the words taken; null texts have none."""
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its fingerprint and group; null and blank texts have fingerprint zero."""
     prints = materialize(simhash.fingerprints(read(spark, sf_dir, "documents", "doc_id", "text")), "prints")
     return simhash.groups(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with what repeated strings take away; null texts are empty."""
     return suffix.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -103,6 +110,7 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for each query; unusable vectors take no part."""
     vectors = topk.quantized(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding")
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
 
@@ -116,6 +124,7 @@ SELECT * FROM ranked WHERE rank <= 5
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings only, read back from its formatted text; null texts are empty."""
     turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     more = spark.sql("SELECT -1L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '<|im_end|><|im_start|>assistant ok' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     return chat.digest(chat.format_conversations(turns.unionByName(more)))
@@ -138,6 +147,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` encoded and decoded; null texts are empty."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.encode_column(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, ids=False).drop("ids")
 
