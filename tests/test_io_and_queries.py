@@ -61,9 +61,9 @@ def test_shards_and_json(spark, tmp_path):
         io.write_shards(df.unionByName(df), str(tmp_path / "t"), 4, ["s1", "mid"])
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         io.write_shards(df, str(tmp_path / "s"), 4, ["s1", "mid"])
-    io.save_json(str(tmp_path / "c.json"), {"é": [1]})
-    assert io.load_json(str(tmp_path / "c.json")) == {"é": [1]}
-    assert json.loads((tmp_path / "c.json").read_text()) == {"é": [1]}
+    io.save_json(spark, str(tmp_path / "c.json"), {"é": [1]})
+    io.save_json(spark, str(tmp_path / "c.json"), {"é": [1, "\n"]})
+    assert io.load_json(spark, str(tmp_path / "c.json")) == {"é": [1, "\n"]}
 
 
 def test_output_checks_find_faults(spark):
@@ -154,6 +154,9 @@ def test_storage_uses_the_configured_folder(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = storage.materialize(spark.range(3), "x")
     assert df.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir")) and df.count() == 3
+    storage.clear(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        storage.materialize(spark.range(3), "y").sparkSession.read.parquet(df.inputFiles()[0])
 
 
 def test_rest_works_without_the_corpus_part(tmp_path):
