@@ -71,9 +71,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> Da
     return docs.where(f"`{text_col}` IS NOT NULL AND `{label_col}` IS NOT NULL AND crc32(CAST(`{id_col}` AS STRING)) % 4 <> 2")
 
 
-def _training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int) -> DataFrame:
+#: Most labels whose sampling rates are broadcast; more are joined by a shuffle.
+FEW_LABELS = 100_000
+
+
+def _training_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int, labels: int) -> DataFrame:
     labelled = _labelled(docs, id_col, text_col, label_col)
     rates = labelled.groupBy(F.col(label_col).alias("_label")).agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("_rate"))
+    rates = F.broadcast(rates) if labels <= FEW_LABELS else rates
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     return labelled.select(F.col(label_col).alias("_label"), F.col(text_col).alias("_text"), chance.alias("_chance")).join(rates, "_label").where("_chance < _rate").select("_label", "_text")
 
@@ -94,7 +99,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     are chosen. Only sums reach the driver, languages x orders x 2**bits at most; from 489 languages on, slots get fewer so
     that these stay within MATRIX_BYTES. With no usable row the model has no language and everything is ``und``.
     """
-    bits = slot_bits(_labelled(docs, id_col, text_col, label_col).select(label_col).distinct().count(), bits)
+    labels = _labelled(docs, id_col, text_col, label_col).select(label_col).distinct().count()
+    bits = slot_bits(labels, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -112,7 +118,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             at = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([label] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1)), pa.array(np.append(into.ravel()[at], docs_of[label]))], ["label", "slot", "n"])
 
-    rows = _training_rows(docs, id_col, text_col, label_col, per_language).mapInArrow(count, "label string, slot long, n long")
+    rows = _training_rows(docs, id_col, text_col, label_col, per_language, labels).mapInArrow(count, "label string, slot long, n long")
     table = rows.groupBy("label", "slot").agg(F.sum("n").alias("n")).toPandas()
     names = tuple(sorted(table["label"].unique()))
     counts = np.zeros((len(names), len(ORDERS) << bits))
