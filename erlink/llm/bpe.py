@@ -56,6 +56,7 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
+        parent, node_of = [0], {}
         for token, i in ranks.items():
             if not self._own(token, i):
                 continue
@@ -65,8 +66,16 @@ class Transducer:
                 if nxt is None:
                     nxt = self.child[node << 8 | b] = len(self.ends)
                     self.ends.append(-1)
+                    parent.append(node)
                 node = nxt
             self.ends[node] = i
+            node_of[i] = node
+        #: the longest token on the way to a node; the longest token that begins another; how long tokens are
+        self.longest = [-1]
+        for node in range(1, len(self.ends)):
+            self.longest.append(self.ends[node] if self.ends[node] >= 0 else self.longest[parent[node]])
+        self.shorter = {i: self.longest[parent[node]] for i, node in node_of.items()}
+        self.size = {i: len(self.text[i]) for i in node_of}
         self._reset()
 
     def _own(self, token: bytes, i: int) -> bool:
@@ -157,33 +166,32 @@ class Transducer:
         Borders that hold so far make the one result of the prefix before them, so no place is reached by two paths, and the
         work is at most the number of places times the longest token.
         """
-        child, ends, pairs, n = self.child, self.ends, self.pairs, len(piece)
-        open_: list[list[tuple[int, int]]] = []
-        at = sum([len(self.text[t]) for t in out])
+        child, longest, shorter, size, pairs, n = self.child.get, self.longest, self.shorter, self.size, self.pairs, len(piece)
+        at = sum([size[t] for t in out])
         last = out[-1] if out else self.START
         while at < n:
-            node, found, i = 0, [], at
+            node, i = 0, at
             while i < n:
-                node = child.get(node << 8 | piece[i])
-                if node is None:
+                nxt = child(node << 8 | piece[i])
+                if nxt is None:
                     break
-                i += 1
-                if ends[node] >= 0:
-                    found.append((ends[node], i))
-            open_.append(found)
+                node, i = nxt, i + 1
+            token = longest[node]
             while True:
-                found = open_[-1]
-                if found:
-                    token, to = found.pop()
+                while token >= 0:
                     fit = last < 0 or pairs.get(last << 32 | token)
                     if fit or (fit is None and self.fits(last, token)):
-                        out.append(token)
-                        at, last = to, token
                         break
-                else:
-                    open_.pop()
-                    out.pop()
-                    last = out[-1] if out else self.START
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                back = out.pop()  # no token fits here: a shorter one before
+                at -= size[back]
+                last = out[-1] if out else self.START
+                token = shorter[back]
+            out.append(token)
+            at += size[token]
+            last = token
         return out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -260,6 +268,7 @@ class Codec:
         self.rest: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
+        self.marks = {mark: self._ids(mark) for mark in MARKS}
         self.plain: dict[int, str | None] = {}
         for i, token in self.fst.text.items():
             try:
@@ -271,10 +280,19 @@ class Codec:
     def _ids(self, piece: str) -> str:
         return ",".join(map(str, self.fst.encode(piece.encode())))
 
+    def _has_newer(self, text: str) -> bool:
+        if text.isascii() or not self.newer:
+            return False
+        try:
+            text.encode("latin-1")  # these are all older, and this is the quicker way to see it
+            return False
+        except UnicodeEncodeError:
+            return self.newer.search(text) is not None
+
     def _pieces(self, text: str) -> str:
         """Ids of all pre-tokens of a text, by a small memo."""
         out = []
-        shown = text if text.isascii() or not self.newer or not self.newer.search(text) else text.translate(self.stand_in)
+        shown = text.translate(self.stand_in) if self._has_newer(text) else text
         for m in self.pattern.finditer(shown):
             piece = m[0] if shown is text else text[m.start() : m.end()]
             found = self.pieces.get(piece)
@@ -293,9 +311,9 @@ class Codec:
         if found is None:
             word = key[:-1]
             if key.isalpha():
-                found = self._ids(" " + key)
+                found = ",".join(map(str, self.fst.encode(b" " + key.encode())))
             elif key[-1:] in MARKS and word.isalpha():
-                found = (self.rest.get(word) or self._chunk(word)) + "," + self._pieces(key[-1])
+                found = (self.rest.get(word) or self._chunk(word)) + "," + self.marks[key[-1]]
             else:
                 found = self._pieces(" " + key)
         if len(key) <= 64:
@@ -312,8 +330,12 @@ class Codec:
             self.older, self.rest = self.rest, {}
         chunks = self.cut.split(text) if self.odd.search(text) else text.split(" ")
         head = [self._pieces(chunks[0])] if chunks[0] else []
-        get, make = self.rest.get, self._chunk
-        return ",".join(head + [get(c) or make(c) for c in chunks[1:]])
+        del chunks[0]
+        found = list(map(self.rest.get, chunks))
+        if None in found:
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                found[i] = self.rest.get(chunks[i]) or self._chunk(chunks[i])
+        return ",".join(head + found)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, without special tokens."""
