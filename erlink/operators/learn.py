@@ -152,3 +152,25 @@ def count_prior(counts: DataFrame, column: str, bins: int = 16) -> DataFrame:
     hist = spark.range(bins).select(F.col("id").cast("int").alias("k")).join(counts.where(F.col(column) < bins).groupBy(F.col(column).cast("int").alias("k")).agg(F.count("*").alias("n")), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
     nxt = hist.select((F.col("k") - 1).alias("k"), F.col("n").alias("m"))
     return hist.join(nxt, "k").select("k", F.ln(F.col("m") / F.col("n")).alias("llr"))
+
+
+def build_resources(pairs: DataFrame, regions: dict[str, dict[str, str]], least: int = 3, purity: float = 0.9) -> DataFrame:
+    """(kind, country, key, value): all learned tables of matched pairs (country, name1, name2, a1, a2), in the order in which they need each other.
+
+    ``native_word``: words of native names by place; ``spelling``: variants of one native word; ``native_region``: native
+    address parts that name a region; ``city``: places whose records name one. Tables of a country come with its name, those
+    for all with "*".
+    """
+    aligned = materialize(align_tokens(pairs, F.col("name1"), F.col("name2")), "aligned")
+    row = lambda df, kind, country, key, value: df.select(F.lit(kind).alias("kind"), country.alias("country"), F.col(key).alias("key"), F.col(value).alias("value"))
+    every = F.lit("*")
+    tables = [
+        row(native_words(aligned), "native_word", every, "native", "en"),
+        row(spelling_variants(aligned, least), "spelling", every, "variant", "canonical"),
+        row(native_regions(pairs, regions, least, purity), "native_region", every, "part", "region"),
+        row(city_regions(pairs.withColumnRenamed("a1", "address"), regions, least, purity), "city", F.col("country"), "city", "region"),
+    ]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -300,6 +300,16 @@ def feat_rare_token(v: Views) -> DataFrame:
     return pairs.idf_containment(df, s1).select("s1", "mid", "rare_tok_hit", "rare_tok_sub", "rare_tok_idf")
 
 
+def _jacc(column: str) -> str:
+    a, b = (f"list_distinct({duck_tokens(column + e)})" for e in ("_s", "_c"))
+    return f"len(list_intersect({a}, {b})) / greatest(len({a}) + len({b}) - len(list_intersect({a}, {b})), 1)"
+
+
+@query(CANON + _PAIRS + f"\nSELECT s1, mid, {_jacc('n_core')} AS nt_jacc, {_jacc('a_tokens')} AS at_jacc, 1 - levenshtein(n_compact_s, n_compact_c) / greatest(length(n_compact_s), length(n_compact_c), 1) AS nm_lev, CAST(a_house_s = a_house_c AS INTEGER) AS house_same FROM atx", longs="house_same", doubles="nt_jacc at_jacc nm_lev")
+def feat_simple(v: Views) -> DataFrame:
+    return pairs.simple_features(feature_pairs(v)[2])
+
+
 @query(None)
 def feat_all(v: Views) -> DataFrame:
     s1, pool, cand = candidates(v)

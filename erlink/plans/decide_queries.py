@@ -490,6 +490,17 @@ def repair_oracle(v: Views) -> DataFrame:
     return evaluate.repair_oracle(decided(v), v("cs_truth"), v("cs_s1"), scored(v).where("p >= 0.95"))
 
 
+@query(_CNT + """, ow AS (SELECT mid, s1 AS o FROM tr), wr AS (SELECT dec.s1, dec.mid, o FROM dec LEFT JOIN ow USING (mid)),
+rp AS (SELECT 'tp' AS metric, sum(tp) AS value FROM cnt UNION ALL SELECT 'fp', sum(n) - sum(tp) FROM cnt UNION ALL SELECT 'fn', sum(t) - sum(tp) FROM cnt UNION ALL SELECT 'wrong_owner', count(*) FROM wr WHERE o IS NOT NULL AND o <> s1 UNION ALL SELECT 'no_owner', count(*) FROM wr WHERE o IS NULL
+  UNION ALL SELECT 'bin ' || CASE WHEN p < 0.02 THEN 'low' WHEN p < 0.99 THEN 'band' ELSE 'high' END, count(*) FROM cs_pairs GROUP BY 1)
+SELECT metric, value FROM rp""", longs="value")
+def audit_report(v: Views) -> DataFrame:
+    truth = v("cs_truth")
+    report = evaluate.audit(scored(v), scored(v), truth, v("cs_s1"), 0.75)
+    rows = [(k, int(report[k])) for k in ("tp", "fp", "fn", "wrong_owner", "no_owner")] + [(f"bin {b['bin']}", b["pairs"]) for b in report["bins"]]
+    return v.spark.createDataFrame(rows, "metric string, value long")
+
+
 def _budget(name: str, rows: str) -> str:
     return f"SELECT '{name}' AS fix, avg({_F}) AS macro_f05 FROM (SELECT e.s1, coalesce(t, 0) AS t, coalesce(n, 0) AS n, coalesce(tp, 0) AS tp FROM (SELECT DISTINCT s1 FROM cs_s1) e LEFT JOIN (SELECT s1, count(*) AS t FROM tr GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS n FROM ({rows}) GROUP BY 1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS tp FROM ({rows}) x JOIN tr USING (s1, mid) GROUP BY 1) USING (s1))"
 

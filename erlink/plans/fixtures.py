@@ -27,6 +27,13 @@ SELECT entity_id, p_type AS country, CASE WHEN noise IN (5, 6) THEN '' ELSE p_br
 FROM lk_copies""",
     "lk_truth": """
 SELECT 'S1-' || CAST(p_partkey AS STRING) AS s1, entity_id AS mid FROM lk_copies WHERE p_partkey % 5 <> 0""",
+    "lk_native": """
+SELECT 'S1-' || CAST(p_partkey AS STRING) AS s1, 'S2-8' || CAST(p_partkey AS STRING) AS mid, 'India' AS country, p_name AS name1,
+       translate(p_name, 'abcdefghijklmnopqrstuvwxyz', 'अआइईउऊएऐओऔकखगघचछजझटठडढतथदध') AS name2,
+       CAST(p_partkey % 900 + 1 AS STRING) || ' Main Street, town ' || translate(CAST(p_partkey % 7 AS STRING), '0123456', 'abcdefg') || ', '
+         || CASE WHEN p_partkey % 13 = 0 THEN 'goa' WHEN p_partkey % 7 < 3 THEN 'kerala' ELSE 'punjab' END AS a1,
+       CAST(p_partkey % 900 + 1 AS STRING) || ', ' || translate(CAST(p_partkey % 7 AS STRING), '0123456', 'कखगघचछज') || ' नगर' AS a2
+FROM part WHERE p_partkey % 3 = 0""",
     "lk_swaps": """
 SELECT 'S2-9' || CAST(p_partkey AS STRING) AS entity_id, p_type AS country, p_brand AS region,
        CASE p_partkey % 6 WHEN 0 THEN split_part(p_name, ' ', 1) || ' anvil' WHEN 1 THEN p_name || 'x'

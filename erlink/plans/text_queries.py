@@ -315,3 +315,62 @@ def feat_jaro_winkler(v: Views) -> DataFrame:
     n = v("part").select("p_name").distinct()
     a, b = n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")), n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k"))
     return a.join(b, "k").select("a", "b", K.jaro_winkler_udf("a", "b").alias("jw"), K.lev_sim(F.col("a"), F.col("b")).alias("lev"))
+
+
+# Native scripts, regions and learned tables.
+
+
+_AL = ", aw AS (SELECT string_split(name1, ' ') AS a, string_split(name2, ' ') AS b FROM lk_native), al AS (SELECT native, en, count(*) AS n FROM (SELECT b[i] AS native, a[i] AS en FROM (SELECT a, b, unnest(range(1, len(a) + 1)) AS i FROM aw WHERE len(a) = len(b))) GROUP BY ALL)"
+_NW = _AL + ", nw AS (SELECT native, en FROM (SELECT *, row_number() OVER (PARTITION BY native ORDER BY n DESC, en) AS r FROM al) WHERE r = 1)"
+_NAMED = ", nd AS (SELECT *, trim(string_split(a1, ',')[3]) AS region FROM lk_native)"
+_NR = _NAMED + ", nr AS (SELECT part, region FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, region) AS r, n / sum(n) OVER (PARTITION BY part) AS share FROM (SELECT trim(string_split(a2, ',')[2]) AS part, region, count(*) AS n FROM nd GROUP BY ALL)) WHERE r = 1 AND n >= 3 AND share >= 0.9)"
+_CY = ", cy AS (SELECT country, city, region FROM (SELECT *, row_number() OVER (PARTITION BY country, city ORDER BY n DESC, region) AS r, n / sum(n) OVER (PARTITION BY country, city) AS share FROM (SELECT country, trim(string_split(a1, ',')[2]) AS city, region, count(*) AS n FROM nd GROUP BY ALL)) WHERE r = 1 AND n >= 3 AND share >= 0.9)"
+
+
+def _aligned(v: Views) -> DataFrame:
+    return learn.align_tokens(v("lk_native"), F.col("name1"), F.col("name2"))
+
+
+@query(_AL + "\nSELECT native, en, n FROM al")
+def native_alignment(v: Views) -> DataFrame:
+    return _aligned(v)
+
+
+@query(_NW + "\nSELECT native, en FROM nw")
+def native_dictionary(v: Views) -> DataFrame:
+    return learn.native_words(_aligned(v))
+
+
+@query("SELECT mid, 1 AS n_native, name1 AS n_core FROM lk_native", longs="n_native")
+def norm_native(v: Views) -> DataFrame:
+    words = {r["native"]: r["en"] for r in learn.native_words(_aligned(v)).collect()}  # a dictionary is a parameter
+    return X.canon_names(v("lk_native"), "name2", words).select("mid", "n_native", "n_core")
+
+
+@query(_NR + "\nSELECT part, region FROM nr")
+def native_region_table(v: Views) -> DataFrame:
+    return learn.native_regions(v("lk_native"), T.REGIONS, 3).select("part", "region")
+
+
+@query(_NR + "\nSELECT mid, coalesce(nr.region, '') AS region, CASE WHEN nr.region IS NULL THEN 0 ELSE 2 END AS region_src FROM lk_native LEFT JOIN nr ON nr.part = trim(string_split(a2, ',')[2])", longs="region_src")
+def addr_native_region(v: Views) -> DataFrame:
+    parts = {r["part"]: r["region"] for r in learn.native_regions(v("lk_native"), T.REGIONS, 3).collect()}
+    return X.canon_addresses(v("lk_native"), "a2", native_parts=parts).select("mid", "region", "region_src")
+
+
+@query(_NAMED + _CY + "\nSELECT mid, coalesce(cy.region, '') AS region, CASE WHEN cy.region IS NULL THEN 0 ELSE 1 END AS region_src FROM lk_native n LEFT JOIN cy ON cy.country = n.country AND cy.city = trim(string_split(a1, ',')[2])", longs="region_src")
+def addr_inferred_region(v: Views) -> DataFrame:
+    found = learn.city_regions(v("lk_native").withColumnRenamed("a1", "address"), T.REGIONS).collect()
+    cities = {"India": {r["city"]: r["region"] for r in found}}
+    nameless = v("lk_native").withColumn("a1", F.regexp_replace("a1", ", [a-z]+$", ""))
+    return X.canon_addresses(nameless, "a1", cities=cities).select("mid", "region", "region_src")
+
+
+@query(_NW + _NR + _CY + ", rs AS (SELECT 'native_word' AS kind, '*' AS country, native AS key, en AS value FROM nw UNION ALL SELECT 'native_region', '*', part, region FROM nr UNION ALL SELECT 'city', country, city, region FROM cy)\nSELECT kind, country, key, value FROM rs")
+def resources_all(v: Views) -> DataFrame:
+    return learn.build_resources(v("lk_native"), T.REGIONS)
+
+
+@query(_NAMED + ", dp AS (SELECT region AS dept, trim(string_split(a1, ',')[2]) AS city FROM nd), fq AS (SELECT dept FROM dp GROUP BY dept HAVING count(*) >= 10), dc AS (SELECT city, dept, count(*) AS n FROM dp WHERE dept IN (SELECT dept FROM fq) GROUP BY ALL)\nSELECT city, dept FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY n DESC, dept) AS r FROM dc) WHERE r = 1 AND n >= 2")
+def dict_departments(v: Views) -> DataFrame:
+    return learn.departments(v("lk_native").withColumnRenamed("a1", "address"), 10, 2)
