@@ -253,12 +253,12 @@ class Utf8Machine:
 class Codec:
     """Whole texts to ids and back. Repeated chunks are looked up in a bounded memo of transducer results."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 520_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_memo: int = 520_000, newer: str | None = None):
         self.fst = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         #: This pattern begins a pre-token at every space before another character; texts of others are not cut first.
         self.spaced = pattern == public_tokenizers.PATTERN
-        newer = newer_characters()
+        newer = newer_characters() if newer is None else newer
         #: Such characters are neither letters nor numbers: another of that kind stands for them while texts are split.
         self.newer = regex.compile(f"[{regex.escape(newer)}]") if newer else None
         self.stand_in = dict.fromkeys(map(ord, newer), "\ue000")
@@ -390,10 +390,10 @@ def newer_characters() -> str:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, newer: str | None = None) -> Codec:
     """The process's codec for a rank file; Python workers are reused, so it is built once in each."""
     if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(load_ranks(path), pattern)
+        _codecs[path, pattern] = Codec(load_ranks(path), pattern, newer=newer)
     return _codecs[path, pattern]
 
 
@@ -404,8 +404,10 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "
     come out as often as they go in. Other columns are not read. ``rank_file`` must be installed on every executor.
     """
 
+    newer = newer_characters()  # asked once, so that workers need not load the library
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(rank_file, pattern)
+        c = codec(rank_file, pattern, newer)
         for batch in batches:
             rows: list[list] = [[], [], [], []]
             for text in batch.column(1):
@@ -431,8 +433,10 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     docs = docs.drop("n_tokens")
     names = docs.columns
 
+    newer = newer_characters()  # asked once, so that workers need not load the library
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(rank_file, pattern)
+        c = codec(rank_file, pattern, newer)
         k = names.index("text")
         for batch in batches:
             texts, counts = [], []
