@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import tables as T
 from ..functions import text as X
+from ..functions.rounding import rounded
 from ..operators import audit, exports, learn
 from .fixtures import Views
 from .registry import CANON, duck_basic, duck_list, duck_map, duck_tokens, prepared, query
@@ -241,7 +242,7 @@ def self_join_pairs(v: Views) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, avg(l_discount) AS disc, count(DISTINCT l_suppkey) AS suppliers, count(*) FILTER (WHERE l_tax > 0.05) AS taxed, median(l_quantity) AS med, quantile_cont(l_extendedprice, 0.9) AS p90 FROM lineitem GROUP BY ALL", doubles="qty revenue disc med p90")
 def agg_overview(v: Views) -> DataFrame:
     return v("lineitem").groupBy("l_returnflag", "l_linestatus").agg(
-        F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.avg("l_discount").alias("disc"),
+        F.count("*").alias("n"), F.sum("l_quantity").alias("qty"), rounded(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"), F.avg("l_discount").alias("disc"),
         F.count_distinct("l_suppkey").alias("suppliers"), F.count_if(F.col("l_tax") > 0.05).alias("taxed"), F.median("l_quantity").alias("med"), F.percentile("l_extendedprice", 0.9).alias("p90"),
     )
 

@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import re
 import subprocess
 import sys
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from erlink import queries
+from erlink.functions.rounding import rounded, with_rounding
 from erlink.operators import audit
 from erlink.plans import fixtures
 from erlink.sources import io, storage
@@ -131,6 +133,30 @@ def test_views_in_both_engines(spark, duck):
         assert sorted(repr(tuple(r)) for r in v(name).collect()) == want
 
 
+@pytest.mark.parametrize("name", ["cs_pairs", "cs_scores"])
+def test_scores_beside_a_half_round_as_in_sql(spark, duck, tmp_path, name):
+    rows = "SELECT CAST(i AS BIGINT) AS k, 0 AS n, round((i * 7919 % 1099900) / 100 - 999.99, 2) AS b FROM range({}) t(i)"
+    for table, n, p in (("customer", 4000, "c_cust"), ("supplier", 5, "s_supp")):
+        columns = f"k AS {p}key, n AS {p[:2]}nationkey, b AS {p[:2]}acctbal"
+        duck.execute(f"COPY (SELECT {columns} FROM ({rows.format(n)})) TO '{tmp_path}/{table}.parquet'")
+    for table in ("nation", "region", "part"):
+        duck.execute(f"COPY (SELECT * FROM {table}) TO '{tmp_path}/{table}.parquet'")
+    sql = fixtures.with_views(f"\nSELECT s1, mid, {'p' if name == 'cs_pairs' else 'p_ce'} FROM {name}")
+    for table in ("customer", "supplier"):
+        sql = re.sub(rf"\b{table}\b", f"'{tmp_path}/{table}.parquet'", sql)
+    want = sorted(duck.execute(sql).fetchall())
+    assert sorted(tuple(r) for r in fixtures.Views(spark, str(tmp_path))(name).select("s1", "mid", "p" if name == "cs_pairs" else "p_ce").collect()) == want
+
+
+def test_rounding_is_that_of_sql(spark, duck):
+    duck.execute("CREATE OR REPLACE TEMP TABLE xs AS SELECT (i - 30000) / 20000 AS x FROM range(60000) t(i) UNION ALL SELECT (i - 500) * 0.0005 + 1e10 FROM range(1000) t(i)")
+    want = duck.execute("SELECT x, round(x, 4) FROM xs ORDER BY x").fetchall()
+    got = spark.createDataFrame([(x,) for x, _ in want], "x double").select("x", rounded("x", 4).alias("a"), F.expr(with_rounding("round(x, 4)")).alias("b")).collect()
+    assert [(r.x, r.a) for r in got] == want and [(r.x, r.b) for r in got] == want
+    odd = spark.createDataFrame([(None,), (float("inf"),), (1e300,)], "x double").select(rounded("x", 6).alias("y")).collect()
+    assert [r.y for r in odd][:2] == [None, float("inf")]
+
+
 def test_entry(spark):
     assert len(__spark_entry__.entry(spark).collect()) > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
