@@ -96,6 +96,24 @@ def test_tiles_do_not_change_a_search(spark, tile):
     assert {k: r.hit for k, r in got.items()} == want
 
 
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_repeated_texts_do_not_change_a_search(spark, tile, monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("ab"), int(rng.integers(2, 6))))
+    side = lambda p, n: rec(spark, *[(f"{p}-{i}", "c", "r", word(), f"{i % 2} {word()[:3]}" if i % 5 else "", "") for i in range(n)])
+    s1, pool = side("S1", 40), side("S2", 60)
+    passes = [B.Pass("name", 4, 1), B.Pass("address", 3, 2), B.Pass("held", 2, 8, "mid", 0.4), B.Pass("name", 3, 16, "mid")]
+    joint = {(r.s1, r.mid): r for r in B.search([(s1, pool, ["country"], [*passes, B.Pass("combined", 3, 32)])]).collect()}
+    shapes = []
+    monkeypatch.setattr(B, "_tiled", lambda rows, *a, t=B._tiled: (shapes.append(rows.groupBy("side").count().collect()), t(rows, *a))[1])
+    got = {(r.s1, r.mid): r for r in B.search([(s1, pool, ["country"], passes)], tile=tile).collect()}
+    assert {k: r.hit for k, r in got.items()} == {k: r.hit & 31 for k, r in joint.items() if r.hit & 31}
+    for k, r in got.items():
+        assert [r.name_cos, r.addr_cos, r.both, r.held] == pytest.approx([joint[k].name_cos, joint[k].addr_cos, joint[k].both, joint[k].held], abs=2e-6)
+    names = {r.side: r["count"] for r in shapes[0]}  # products are of distinct texts, not of rows
+    assert names[0] <= s1.select("n_compact").distinct().count() < 40 and names[1] <= pool.select("n_compact").distinct().count() < 60
+
+
 def test_exact_keys_are_capped(spark):
     s1 = rec(spark, *[(f"S1-{i}", "c", "r", "same name", "x", "") for i in range(3)])
     pool = rec(spark, *[(f"S2-{i}", "c", "r", "same name", "x", "") for i in range(4)])
