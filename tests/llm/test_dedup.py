@@ -1,7 +1,9 @@
 """SimHash, suffix and embedding duplicates against brute force, and their edges."""
 
 import hashlib
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -197,3 +199,20 @@ def test_suffix_false_first_names_remove_nothing(spark, monkeypatch):
     finally:
         cloudpickle.unregister_pickle_by_value(suffix)
     assert got == _slow_cut(rows, 200)
+
+
+def test_stored_results_leave_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    jvm, was = spark.sparkContext._jvm, spark.conf.get(setting)
+
+    def files():
+        dirs = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {str(p) for d in dirs for p in Path(d).rglob("shuffle_*")}
+
+    before = files()
+    df = common.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "some")
+    end = time.time() + 10
+    while files() - before and time.time() < end:  # they are deleted beside the work
+        time.sleep(0.1)
+    assert not files() - before
+    assert df.count() == 7 and spark.conf.get(setting) == was
