@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize, shared_dir
+from ..sources.storage import materialize, settled, shared_dir
 
 __all__ = ["connected_components", "materialize", "read", "settled", "shared_dir", "small_batches"]
 
@@ -17,24 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def settled(df: DataFrame, key: str, partitions: int) -> DataFrame:
-    """``df`` partitioned and sorted by ``key`` and checkpointed so: what groups by the key later moves nothing of it.
-
-    The checkpoint lies in the shared folder, so lost executors cost nothing; as it knows how it is partitioned, joins and
-    cogroups bring the other side to it. Fewer partitions than the session's default would be shuffled once more.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    n = max(int(partitions), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan does not tell how its result is partitioned
-    try:
-        return df.repartition(n, key).sortWithinPartitions(key).checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let at most ``rows`` rows go to a Python worker at a time: texts are long, and a batch is in memory on both sides.
 

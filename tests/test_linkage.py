@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from erlink.functions import kernels
 from erlink.operators import audit, collective, decide, evaluate, exports, models, pairs
 from erlink.operators import blocking as B
+from erlink.plans import fixtures
 
 REC = "entity_id string, country string, region string, n_core string, n_compact string, a_tokens string, a_house string, a_null int"
 
@@ -408,3 +409,28 @@ def test_plug_in_scorer(spark):
     known = models.score_texts(texts.limit(1), models.HashedOverlapScorer())
     assert models.score_new(texts, known, models.HashedOverlapScorer()).count() == 3
     assert models.pairs_per_second(texts, models.HashedOverlapScorer(), 3) > 0
+
+
+def test_pairs_of_a_record_neither_move_nor_are_sorted(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    v = fixtures.Views(spark, "/root/testdata/sf0.01")
+    best = plan(decide.leaders(v("cs_pairs")))
+    assert "Sort [" not in best and "Exchange hashpartitioning" not in best
+    marked = plan(decide.marked(v("cs_pairs"), v("cs_truth"), "y"))
+    assert marked.count("Sort [") <= 1 and "Exchange hashpartitioning" not in marked  # the lists of owners, one a record
+    for name in ("cs_pairs", "cs_truth"):
+        ours, sql = v(name), v.sql(f"\nSELECT * FROM {name}")
+        assert ours.dtypes == sql.dtypes and ours.count() == sql.count() and ours.exceptAll(sql).isEmpty()
+
+
+def test_leaders_are_the_winners(spark):
+    nan = float("nan")
+    rows = [("B", "x", 0.5), ("A", "x", 0.5), ("C", "x", 0.4), ("A", "y", None), ("B", "y", -0.0), (None, "z", 0.0), ("A", "z", -0.0), ("A", "w", 1.0), ("B", "w", nan), ("D", None, 0.1), ("C", None, 0.2), ("B", "u", None), ("A", "u", None)]
+    df = spark.createDataFrame(rows, "s1 string, mid string, p double")
+    want = sorted(map(str, decide.winners(df).collect()))
+    assert decide.leaders(df).columns == df.columns and sorted(map(str, decide.leaders(df).collect())) == want and len(want) == 6
+    truth = spark.createDataFrame([("A", "x"), ("A", "x"), ("B", "x"), ("A", "q"), (None, "z"), ("D", None)], "s1 string, mid string")
+    got = {(r.s1, r.mid) for r in decide.marked(df, truth, "y").where("y").collect()}
+    assert got == {("A", "x"), ("B", "x")} and decide.marked(df, truth, "y").count() == len(rows)
