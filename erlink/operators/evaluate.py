@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .decide import assign, f05, winners
+from ..sources.storage import materialize
+from .decide import assign, f05, leaders, marked, winners
 
 
 def entity_counts(assigned: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def f05_by(assigned: DataFrame, truth: DataFrame, entities: DataFrame, by: str)
 
 def blocking_oracle(candidates: DataFrame, truth: DataFrame, entities: DataFrame) -> DataFrame:
     """The score of an assignment that takes every true candidate and nothing else."""
-    return macro_f05(truth.join(candidates.select("s1", "mid").distinct(), ["s1", "mid"], "left_semi"), truth, entities)
+    found = marked(candidates.select("s1", "mid"), truth, "y").where("y").select("s1", "mid")
+    return macro_f05(materialize(found, "found"), truth, entities)
 
 
 def md5_unit(text: Column) -> Column:

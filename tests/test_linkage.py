@@ -434,3 +434,23 @@ def test_leaders_are_the_winners(spark):
     truth = spark.createDataFrame([("A", "x"), ("A", "x"), ("B", "x"), ("A", "q"), (None, "z"), ("D", None)], "s1 string, mid string")
     got = {(r.s1, r.mid) for r in decide.marked(df, truth, "y").where("y").collect()}
     assert got == {("A", "x"), ("B", "x")} and decide.marked(df, truth, "y").count() == len(rows)
+
+
+def test_audits_join_pairs_by_record_alone(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    v = fixtures.Views(spark, "/root/testdata/sf0.01")
+    best, truth = decide.leaders(v("cs_pairs")), v("cs_truth")
+    assert "hashpartitioning(s1" not in plan(evaluate.score_bins(v("cs_pairs"), best, truth))
+    sure = v("cs_pairs").where("p >= 0.9")
+    plain = evaluate.macro_f05(truth.join(sure.select("s1", "mid").distinct(), ["s1", "mid"], "left_semi"), truth, v("cs_s1")).collect()
+    assert evaluate.blocking_oracle(sure, truth, v("cs_s1")).collect() == plain
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    was = spark.conf.get(name)
+    entities = spark.createDataFrame([("A",), ("B",)], "s1 string")
+    owned = spark.createDataFrame([("A", "x")], "s1 string, mid string")
+    rows = lambda *r: spark.createDataFrame(list(r), "s1 string, mid string, p double")
+    evaluate.validate(rows(("A", "x", 0.5), ("B", "x", 0.5), (None, "x", 0.5)), owned, entities)
+    for repeated in (("A", "x", 0.1), (None, "x", 0.1)):
+        with pytest.raises(ValueError, match="repeated pairs"):
+            evaluate.validate(rows(("A", "x", 0.5), (None, "x", 0.5), repeated), owned, entities)
+    assert spark.conf.get(name) == was
