@@ -115,6 +115,20 @@ def test_repeated_texts_do_not_change_a_search(spark, tile, monkeypatch):
     assert names[0] <= s1.select("n_compact").distinct().count() < 40 and names[1] <= pool.select("n_compact").distinct().count() < 60
 
 
+def test_two_texts_are_multiplied_once(spark, monkeypatch):
+    """Cosines belong to texts: 40 copies of a record add pairs, not products."""
+    names, streets = ["red ring", "blue bolt", "red bolt"], ["1 main street", "2 side street"]
+    row = lambda p, i: (f"{p}{i:04}", "X", "r", names[i % 3].replace(" ", ""), streets[i % 2])
+    columns = "entity_id string, country string, region string, n_compact string, a_tokens string"
+    side = lambda p, n: spark.createDataFrame([row(p, i) for i in range(n)], columns)
+    kept = []
+    store = B.materialize
+    monkeypatch.setattr(B, "materialize", lambda df, name: kept.append((name, store(df, name))) or kept[-1][1])
+    pairs = B.generate(side("a", 6), side("b", 240), 300, 300, 0).collect()
+    assert len(pairs) == 6 * 240 and all(r.addr_cos == 1 for r in pairs if int(r.s1[1:]) % 2 == int(r.mid[1:]) % 2)
+    assert sorted(df.count() for name, df in kept if name == "products") == [4, 9]
+
+
 def test_exact_keys_are_capped(spark):
     s1 = rec(spark, *[(f"S1-{i}", "c", "r", "same name", "x", "") for i in range(3)])
     pool = rec(spark, *[(f"S2-{i}", "c", "r", "same name", "x", "") for i in range(4)])
