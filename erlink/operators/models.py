@@ -154,10 +154,18 @@ def sweep(df: DataFrame, test: DataFrame, features: Sequence[str], configs: Mapp
 
 
 def stack(df: DataFrame, a: str = "p", b: str = "q", label: str = "y") -> DataFrame:
-    """Adds ``stacked``: logistic regression on two log odds and their product."""
-    x = df.withColumns({"_a": logit(F.col(a)), "_b": logit(F.col(b))}).withColumn("_ab", F.col("_a") * F.col("_b")).withColumn("_y", F.col(label).cast("double"))
-    model = Pipeline(stages=[VectorAssembler(inputCols=["_a", "_b", "_ab"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1e-4)]).fit(x)
-    return model.transform(x).withColumn("stacked", vector_to_array("probability")[1]).drop("_a", "_b", "_ab", "_y", "_x", "rawPrediction", "probability", "prediction")
+    """Adds ``stacked``: logistic regression on two log odds and their product.
+
+    It is fitted on the distinct rows of scores and label, each with its number as weight, which is the same loss, so that
+    rows are neither cached nor turned into vectors; they are scored by an expression.
+    """
+    terms = lambda: (logit(F.col(a)), logit(F.col(b)), logit(F.col(a)) * logit(F.col(b)))
+    rows = df.groupBy(F.col(a), F.col(b), F.col(label).cast("double").alias("_y")).agg(F.count("*").cast("double").alias("_w"))
+    rows = rows.select("_y", "_w", *[x.alias(n) for n, x in zip(("_a", "_b", "_ab"), terms(), strict=True)])
+    lr = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1e-4)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["_a", "_b", "_ab"], outputCol="_x"), lr]).fit(rows).stages[-1]
+    z = sum((F.lit(float(c)) * x for c, x in zip(model.coefficients, terms(), strict=True)), F.lit(float(model.intercept)))
+    return df.withColumn("stacked", 1 / (1 + F.exp(-z)))
 
 
 class PairScorer(Protocol):

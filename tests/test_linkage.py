@@ -487,3 +487,26 @@ def test_twice_scored_is_the_join_of_the_pairs(spark, tmp_path, full):
     got = v.twice_scored(full)
     want = v.sql(f"\nSELECT s1, mid, a.p, p_ce FROM cs_pairs a {'FULL' if full else ''} JOIN cs_scores USING (s1, mid)")
     assert got.count() > 100 and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+
+
+def test_stack_is_fitted_on_distinct_rows(spark, monkeypatch):
+    """The same scores as by all rows, from one weighted row of each kind."""
+    rnd = np.random.default_rng(3)
+    p, q = rnd.integers(1, 9, 2000) / 10, rnd.integers(1, 5, 2000) / 5.5
+    y = (rnd.random(2000) < p * q).astype(int)
+    df = spark.createDataFrame([(str(i), float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(p, q, y, strict=True))], "mid string, p double, q double, y int")
+    seen, plain = [], models.LogisticRegression
+
+    class Counted(plain):
+        def _fit(self, rows):
+            seen.append((rows.count(), rows.selectExpr(f"sum({self.getWeightCol()})").first()[0] if self.isDefined("weightCol") else None))
+            return super()._fit(rows)
+
+    monkeypatch.setattr(models, "LogisticRegression", Counted)
+    got = {r.mid: r.stacked for r in models.stack(df).collect()}
+    kinds = len(set(zip(p, q, y, strict=True)))
+    assert seen == [(kinds, 2000)] and kinds <= 64
+    x = models.VectorAssembler(inputCols=["a", "b", "ab"], outputCol="x").transform(df.withColumns({"a": collective.logit(F.col("p")), "b": collective.logit(F.col("q"))}).withColumn("ab", F.col("a") * F.col("b")))
+    model = plain(featuresCol="x", labelCol="y", regParam=1e-4).fit(x)
+    want = {r.mid: r.probability[1] for r in model.transform(x).select("mid", "probability").collect()}
+    assert len(got) == 2000 and max(abs(got[k] - want[k]) for k in want) < 1e-5
