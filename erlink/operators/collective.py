@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.text import tokens
+from ..sources.storage import materialize
 
 CONFIDENT, LOW, HIGH = 0.75, 0.02, 0.99
 _ALL = (W.unboundedPreceding, W.unboundedFollowing)
@@ -206,6 +207,14 @@ def record_competition(df: DataFrame, column: str, prefix: str, absent: float =
 
 
 def correction_groups(scored: DataFrame, high: float = HIGH) -> DataFrame:
-    """All claims on every record that some entity claims with p >= high, with the competition for it."""
-    sure = scored.where(F.col("p") >= high).select("mid").distinct()
-    return record_competition(scored.join(sure, "mid", "left_semi"), "p", "p1")
+    """All claims on every record that some entity claims with p >= high, with the competition for it, as :func:`record_competition` has it.
+
+    The two best scores come from two aggregates, so that claims that lie together and sorted by record neither move nor are sorted.
+    """
+    p, best = F.col("p"), F.col("_best")
+    top = materialize(scored.groupBy("mid").agg(F.max("p").alias("_best")).where(best >= high), "best")
+    tied = scored.join(top, "mid").groupBy("mid", "_best").agg(F.count_if(p == best).alias("_n"), F.max(F.when(p < best, p)).alias("_below"))
+    second_best = F.when(F.col("_n") > 1, best).otherwise(F.coalesce("_below", F.lit(0.0)))
+    rivals = materialize(tied.select("mid", "_best", second_best.alias("_second")), "rivals")
+    rival = F.when(p == best, F.col("_second")).otherwise(best)
+    return scored.join(rivals, "mid").select(*scored.columns, best.alias("p1_best"), F.col("_second").alias("p1_second"), rival.alias("p1_rival"), (p - rival).alias("p1_margin"))

@@ -510,3 +510,13 @@ def test_stack_is_fitted_on_distinct_rows(spark, monkeypatch):
     model = plain(featuresCol="x", labelCol="y", regParam=1e-4).fit(x)
     want = {r.mid: r.probability[1] for r in model.transform(x).select("mid", "probability").collect()}
     assert len(got) == 2000 and max(abs(got[k] - want[k]) for k in want) < 1e-5
+
+
+def test_correction_groups_sort_no_claims(spark):
+    rows = [("a", "m", 0.99), ("b", "m", 0.99), ("c", "m", 0.5), ("a", "n", 1.0), ("b", "n", 0.3), ("c", "n", 0.2), ("a", "o", 0.995), ("a", "q", 0.9), ("b", "q", 0.8), ("a", "r", 0.99), ("b", "r", None)]
+    df = spark.createDataFrame(rows, "s1 string, mid string, p double")
+    got = collective.correction_groups(df)
+    want = collective.record_competition(df.where("mid <> 'q'"), "p", "p1")
+    assert got.columns == want.columns and got.count() == 9
+    assert not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
