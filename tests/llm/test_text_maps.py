@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -240,6 +241,19 @@ def test_secret_network_on_held_out_findings_of_a_corpus(spark):
     assert not any("token" in x for x, v in held if v)
 
 
+def test_secret_network_learns_from_all_findings_of_a_corpus(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARD", 600)
+    docs = [(4 * i, f"see page-{i:05d}-of-the-book or token={i * 7919:012d}") for i in range(1500)]
+    mine = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 4 != 2]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = secrets.corpus_findings(df)
+    assert len(mine) > 1000 and sum(y for _, y in found) == sum(not y for _, y in found) == len(mine) and found.shards.count() > 1
+    net, other = secrets.train(found, n=200), secrets.train(secrets.corpus_findings(df.repartition(7)), n=200)
+    assert net.threshold == other.threshold and (net.conv == other.conv).all()
+    p, y = net.probability(secrets.encode([x for x, _ in found])), np.array([v for _, v in found])
+    assert (p[y] >= net.threshold).mean() > 0.95 and (p[~y] >= net.threshold).mean() < 0.05
+
+
 def test_secret_base_spans_of_a_corpus_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.find(docs, NET).collect()}
