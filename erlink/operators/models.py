@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialize
 from .collective import logit
 from .evaluate import auc_log_loss, md5_unit
 
@@ -42,13 +43,29 @@ def hash_holdout(key: Column, share: float, seed: int) -> Column:
     return md5_unit(F.concat(F.lit(f"{seed}:"), key)) < share
 
 
+#: Parts of the rows with the same features and label, so that a tree's sample leaves out some of them and not all.
+PARTS = 16
+
+
+def _together(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows with the same features, label and part as one, with the sum of their weights; stored, as fitting goes through rows many times."""
+    part = F.pmod(F.xxhash64(*[c for c in ("s1", "mid") if c in df.columns]), F.lit(PARTS)).alias("_part")
+    keys = [*features, "y", "_valid", "_part"]
+    rows = df.select(*keys[:-1], part, "w").groupBy(*keys).agg(F.sum("w").alias("w"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartition(n, *keys).sortWithinPartitions(*keys), "together")
+
+
 def fit_gbt(train: DataFrame, features: Sequence[str], rounds: int = 60, depth: int = 5, rate: float = 0.1, seed: int = 0, holdout: float = 0.1) -> PipelineModel:
-    """Boosted trees on (features, y, w); a tenth of the entities stops them early. Nulls are -1, as trees need a number."""
+    """Boosted trees on (features, y, w); a tenth of the entities stops them early. Nulls are -1, as trees need a number.
+
+    Equal rows are fitted as one with the sum of their weights, which is the same loss (see _together).
+    """
     df = train.na.fill(-1.0, list(features)).withColumn("_valid", hash_holdout(F.col("s1"), holdout, 90 + seed)).withColumn("y", F.col("y").cast("double"))
     if "w" not in df.columns:
         df = df.withColumn("w", F.lit(1.0))
     gbt = GBTClassifier(featuresCol="_x", labelCol="y", weightCol="w", validationIndicatorCol="_valid", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), gbt]).fit(df)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), gbt]).fit(_together(df, features))
 
 
 def score_gbt(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "p") -> DataFrame:

@@ -397,6 +397,20 @@ def test_exports(spark):
     assert {r.kind for r in syn.collect()} == {"pos", "addr", "name", "word", "decoy"} and sorted(map(tuple, syn.collect())) == sorted(map(tuple, exports.synthetic_pairs(s1).collect()))
 
 
+def test_trees_fit_equal_rows_as_one(spark, monkeypatch):
+    df = spark.range(6000).select(F.format_string("S1-%d", F.expr("id div 3")).alias("s1"), F.format_string("S2-%d", "id").alias("mid"), (F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 7 < 6, (F.col("id") % 2).cast("double")).alias("b"), ((F.col("id") % 5 > 2) & (F.col("id") % 11 < 9)).cast("int").alias("y"))
+    fit, seen = models.Pipeline.fit, []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, rows: (seen.append(rows), fit(self, rows))[1])
+    m = models.fit_gbt(df, ["a", "b"], rounds=20, depth=3, rate=0.3)
+    assert seen[0].agg(F.sum("w")).first()[0] == 6000 and seen[0].count() <= 5 * 3 * 2 * 2 * models.PARTS
+    out = models.score_gbt(m, df, ["a", "b"])
+    assert out.count() == 6000
+    for r in out.groupBy("a").agg(F.avg("p").alias("p"), F.avg("y").alias("y")).collect():
+        assert abs(r.p - r.y) < 0.08
+    doubled = models.fit_gbt(df.withColumn("w", F.lit(2.0)), ["a", "b"], rounds=2, depth=2)
+    assert seen[-1].agg(F.sum("w")).first()[0] == 12000 and doubled is not None
+
+
 def test_models(spark):
     rows = [(f"S1-{i}", f"S2-{i}", float(i % 10), float(i % 7), int(i % 10 > 5), i % 2, "US" if i % 3 else "IN") for i in range(300)]
     df = spark.createDataFrame(rows, "s1 string, mid string, a double, b double, y int, fold int, country string")
