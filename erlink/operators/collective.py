@@ -172,14 +172,16 @@ def twins(scored: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
     The pair's own acceptance is taken off, also where the record has no twin: tw_own is then minus that, tw_oth minus a rival's.
     """
     key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("n_compact", "a_tokens", "a_house")])
-    tw = records.where("a_null = 0").select(F.col("entity_id").alias("mid"), key.alias("key"))
-    tw = tw.withColumn("tw_size", F.count("*").over(W.partitionBy("key"))).where("tw_size >= 2")
+    same = records.where("a_null = 0").groupBy(key.alias("key")).agg(F.collect_list("entity_id").alias("mids"), F.count("*").alias("tw_size")).where("tw_size >= 2")
+    same = same.withColumn("key", F.monotonically_increasing_id())  # before the explode: one number for all records of a key
+    tw = materialize(same.select(F.explode("mids").alias("mid"), "key", "tw_size"), "twins")
     df = scored.select("s1", "mid", "q").withColumn("_r", F.row_number().over(_by("mid").orderBy(F.desc("q"), "s1"))).withColumn("a", ((F.col("_r") == 1) & (F.col("q") >= threshold)).cast("int"))
-    df = df.withColumn("held", F.max("a").over(_by("mid"))).join(tw, "mid", "left")
-    k = df.where("key IS NOT NULL")
-    own = k.groupBy("key", "s1").agg(F.sum("a").alias("k_own"), F.sum("q").alias("k_q"))
-    every = k.groupBy("key").agg(F.sum("a").alias("k_all"))
-    df = df.join(own, ["key", "s1"], "left").join(every, "key", "left").na.fill(0, ["k_own", "k_all"])
+    df = materialize(df.withColumn("held", F.max("a").over(_by("mid"))).drop("_r").join(tw, "mid", "left"), "claimed")
+    # Those of an entity lie together among those of a key, so that one exchange and one sort give both sums.
+    mine, named = W.partitionBy("key", "s1"), F.col("s1").isNotNull()
+    k = df.where("key IS NOT NULL").repartition("key").withColumns({"k_own": F.when(named, F.sum("a").over(mine)), "k_q": F.when(named, F.sum("q").over(mine)), "k_all": F.sum("a").over(W.partitionBy("key"))})
+    none = F.lit(None)
+    df = k.unionByName(df.where("key IS NULL").withColumns({"k_own": none.cast("long"), "k_q": none.cast("double"), "k_all": none.cast("long")})).na.fill(0, ["k_own", "k_all"])
     own = F.col("k_own") - F.col("a")
     return df.select("s1", "mid", (F.coalesce("tw_size", F.lit(1)) - 1).alias("tw_n"), own.alias("tw_own"), (F.col("k_all") - F.col("held") - own).alias("tw_oth"), (F.coalesce("k_q", "q") - F.col("q")).alias("tw_qsum"))
 

@@ -249,6 +249,21 @@ def test_siblings_twins_and_rounds(spark):
     assert r2["A", "S2-1"].r2_llr_own == -1 and r2["A", "S2-1"].r2_llr_d is None
 
 
+def test_twins_meet_in_one_exchange(spark):
+    recs = rec(spark, *[(f"S2-{i}", "c", "r", f"n{i % 5}", "1 main", "1") for i in range(20)])
+    pairs = [(f"S1-{e}", f"S2-{i}", ((e * 7 + i * 3) % 11) / 10) for e in range(6) for i in range(22)]
+    out = collective.twins(spark.createDataFrame(pairs, "s1 string, mid string, q double"), recs, 0.75)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    lead = {m: min((-q, s) for s, x, q in pairs if x == m) for _, m, _ in pairs}
+    a = {(s, m): int(lead[m] == (-q, s) and q >= 0.75) for s, m, q in pairs}
+    twins = lambda m: [f"S2-{j}" for j in range(20) if j % 5 == int(m[3:]) % 5] if int(m[3:]) < 20 else []
+    got = {(r.s1, r.mid): (r.tw_n, r.tw_own, r.tw_oth, round(r.tw_qsum, 6)) for r in out.collect()}
+    for s, m, q in pairs:
+        own = sum(a[s, x] for x in twins(m)) - a[s, m]
+        others = sum(a[e, x] for x in twins(m) for e in {e for e, _, _ in pairs}) - max(a[e, m] for e in {e for e, _, _ in pairs}) - own
+        assert got[s, m] == (max(len(twins(m)), 1) - 1, own, others, round(sum(p for e, x, p in pairs if e == s and x in twins(m)) - q, 6) if twins(m) else 0)
+
+
 # Decisions.
 
 
