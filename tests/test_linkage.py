@@ -213,6 +213,18 @@ def test_batch_kernels_equal_plain_ones():
         assert batch(a, b).tolist() == [plain(x, y) for x, y in zip(a, b, strict=True)]
 
 
+def test_kernels_compare_a_pair_once(monkeypatch):
+    asked, memo = [], {}
+    count = lambda a, b: (asked.extend(zip(a, b, strict=True)), kernels.ratios(a, b))[1]
+    a, b = ["ab", "ab", "x", ""] * 50, ["abc", "abc", "y", ""] * 50
+    for _ in range(3):
+        got = kernels.remembered(memo, a, b, [count, kernels.partial_ratios])
+        assert got.tolist() == [[kernels.ratio(x, y), kernels.partial_ratio(x, y)] for x, y in zip(a, b, strict=True)]
+    assert len(asked) == 3
+    monkeypatch.setattr(kernels, "MEMO", 2)
+    assert kernels.remembered(memo, ["q"], ["q"], [count, count]).tolist() == [[100.0, 100.0]] and len(memo) == 1
+
+
 def test_competition_ties_and_margins(spark):
     df = scored(spark, ("A", "x", 0.8), ("B", "x", 0.8), ("B", "y", 0.3), ("C", "z", 1.0)).withColumnRenamed("p", "p_ce")
     got = {(r.s1, r.mid): r for r in collective.encoder_competition(df).collect()}
