@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with secrets in its text replaced by a mark."""
     small_batches(spark)
-    net = secrets.train(secrets.corpus_findings(docs))
+    net = secrets.train(secrets.corpus_findings(docs, held_out=None))
     return secrets.redact(docs.select(*COLUMNS), net)
 
 

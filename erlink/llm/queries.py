@@ -39,7 +39,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with its findings; a null text has none."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
-    return secrets.find(docs, secrets.train(secrets.corpus_findings(docs)))
+    return secrets.find(docs, secrets.train(secrets.corpus_findings(docs, held_out=None)))
 
 
 def list_entries(pages: DataFrame) -> DataFrame:

@@ -254,6 +254,21 @@ def test_secret_network_learns_from_all_findings_of_a_corpus(spark, monkeypatch)
     assert (p[y] >= net.threshold).mean() > 0.95 and (p[~y] >= net.threshold).mean() < 0.05
 
 
+def test_secret_scan_learns_from_every_document(spark, monkeypatch, tmp_path):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2] + [None]
+    docs = spark.createDataFrame([(i, f"see page-{k:05d}-of-the-book or token={k * 7919:012d}") for k, i in enumerate(ids)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    passed, learned, judged = [], [], []
+    train, descend, logits = secrets.train, secrets._averaged, secrets._unseen_logits
+    monkeypatch.setattr(secrets, "train", lambda corpus: passed.append(sum(1 for _ in corpus)) or train(corpus, n=200))
+    monkeypatch.setattr(secrets, "_averaged", lambda nets, *a: learned.append(len(nets)) or descend(nets, *a))
+    monkeypatch.setattr(secrets, "_unseen_logits", lambda *a: judged.append(logits(*a)) or judged[-1])
+    assert queries.op3_secret_scan(spark, str(tmp_path)).count() == len(ids)
+    _, label, number = judged[0]
+    assert len(ids) > 50 and passed == [2 * len(ids)] and learned == [3] * secrets.ROUNDS
+    assert number[label == 1].sum() == number[label == 0].sum() == len(ids)
+
+
 def test_secret_base_spans_of_a_corpus_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.find(docs, NET).collect()}
