@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from erlink.functions import kernels
 from erlink.operators import audit, collective, decide, evaluate, exports, models, pairs
 from erlink.operators import blocking as B
-from erlink.plans import fixtures
+from erlink.plans import decide_queries, fixtures
 
 REC = "entity_id string, country string, region string, n_core string, n_compact string, a_tokens string, a_house string, a_null int"
 
@@ -561,3 +562,22 @@ def test_correction_groups_sort_no_claims(spark):
     assert got.columns == want.columns and got.count() == 9
     assert not got.exceptAll(want).count() and not want.exceptAll(got).count()
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _small_candidates(spark):
+    record = lambda i, name, house, country: (i, name, name, f"{house} main street", str(house), country)
+    schema = "entity_id string, n_core string, n_compact string, a_tokens string, a_house string, country string"
+    s1 = spark.createDataFrame([record("S1-1", "blue ring", 4, "A"), record("S1-2", "red bolt", 5, "B"), record("S1-2", "red bolt", 6, "B")], schema)
+    pool = spark.createDataFrame([record("S2-1", "blue rings", 4, "A"), record("S2-2", "red bolt", 5, "B"), record("S3-1", "cold plate", 7, "B")], schema)
+    met = [(a, b, 0.5, 0.25, 1) for a in ("S1-1", "S1-2") for b in ("S2-1", "S2-2", "S3-1")]
+    return s1, pool, spark.createDataFrame(met, "s1 string, mid string, name_cos double, addr_cos double, hit int")
+
+
+def test_twins_take_pairs_as_they_are_attached(spark, monkeypatch):
+    s1, pool, cand = _small_candidates(spark)
+    pool = pool.unionByName(pool.where("entity_id = 'S2-2'").withColumn("entity_id", F.lit("S2-3"))).withColumn("a_null", F.lit(0))
+    cand = cand.unionByName(cand.where("mid = 'S2-2'").withColumn("mid", F.lit("S2-3")))
+    monkeypatch.setattr(decide_queries, "feature_pairs", lambda v: (s1.dropDuplicates(["entity_id"]), pool, pairs.attach(cand.select("s1", "mid"), s1.dropDuplicates(["entity_id"]), pool)))
+    monkeypatch.setattr(decide_queries, "materialize", lambda df, name: pytest.fail(f"{name} is stored"))
+    got = {(r.s1, r.mid): r.tw_n for r in decide_queries.r2_twins(None).collect()}
+    assert got == {(a, b): int(b in ("S2-2", "S2-3")) for a in ("S1-1", "S1-2") for b in ("S2-1", "S2-2", "S2-3", "S3-1")}
