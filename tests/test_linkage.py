@@ -573,6 +573,24 @@ def _small_candidates(spark):
     return s1, pool, spark.createDataFrame(met, "s1 string, mid string, name_cos double, addr_cos double, hit int")
 
 
+def test_model_rows_are_labelled_and_kept_without_a_join_by_pair(spark):
+    s1, pool, cand = _small_candidates(spark)
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-1"), ("S1-9", "S2-1"), ("S1-2", "S2-2"), (None, "S3-1"), ("S1-1", None)], "s1 string, mid string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = decide_queries._model_rows(s1, pool, cand, truth, F.col("country_s").alias("country"), "name_cos", "addr_cos")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.s1, r.mid, r.y, r.country, r.name_cos, r.addr_cos) for r in rows.collect())
+        plain = pairs.simple_features(pairs.attach(cand, s1, pool)).join(truth.distinct().withColumn("y", F.lit(1)), ["s1", "mid"], "left").na.fill(0, ["y"])
+        assert sorted(map(tuple, rows.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Join") == 3 and not re.search(r"hashpartitioning\(s1#\d+, mid#", plan)
+    want = [("S1-1", m, int(m == "S2-1"), "A") for m in ("S2-1", "S2-2", "S3-1")] + [("S1-2", m, int(m == "S2-2"), "B") for m in ("S2-1", "S2-2", "S3-1") for _ in range(2)]
+    assert got == sorted((*w, 0.5, 0.25) for w in want)
+
+
 def test_twins_take_pairs_as_they_are_attached(spark, monkeypatch):
     s1, pool, cand = _small_candidates(spark)
     pool = pool.unionByName(pool.where("entity_id = 'S2-2'").withColumn("entity_id", F.lit("S2-3"))).withColumn("a_null", F.lit(0))
