@@ -591,6 +591,22 @@ def test_model_rows_are_labelled_and_kept_without_a_join_by_pair(spark):
     assert got == sorted((*w, 0.5, 0.25) for w in want)
 
 
+def test_word_sets_are_made_once_a_record(spark):
+    rows = [("b a b", "1 2"), ("", "x"), (None, None), ("a  c", "2 1 2")]
+    s1, pool = (spark.createDataFrame([(f"{k}{i}", *r, n) for i, r in enumerate(rows) for n in ("3",)], "entity_id string, n_core string, a_tokens string, a_nums string") for k in "sm")
+    met = spark.createDataFrame([(f"s{i}", f"m{j}") for i in range(4) for j in range(4)], "s1 string, mid string")
+    made = pairs.attach(met, pairs.word_sets(s1), pairs.word_sets(pool), ("n_core_set", "a_tokens_set", "a_nums_set"))
+    plain = pairs.attach(met, s1, pool, pairs.WORDED)
+    assert not {"n_core_s", "a_tokens_s"} & set(made.columns)
+    for c in pairs.WORDED:
+        a, b = (sorted(map(tuple, pairs.token_overlap(df, c, "x").select("s1", "mid", "x_jacc", "x_c_in_s", "x_s_in_c", "x_n1", "x_n2").collect())) for df in (made, plain))
+        assert a == b and len(a) == 16
+    s1, pool, cand = _small_candidates(spark)
+    model = decide_queries._model_rows(s1, pool, cand, cand.select("s1", "mid"))
+    above = model._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "array_intersect" in above and "array_distinct" not in above
+
+
 def test_twins_take_pairs_as_they_are_attached(spark, monkeypatch):
     s1, pool, cand = _small_candidates(spark)
     pool = pool.unionByName(pool.where("entity_id = 'S2-2'").withColumn("entity_id", F.lit("S2-3"))).withColumn("a_null", F.lit(0))
